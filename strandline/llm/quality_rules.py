@@ -5,7 +5,7 @@ windows that occur more than once. All is computed inside the row by array
 functions, so no text is shuffled. Windows are compared by 64-bit hashes, built
 by doubling (pairs, fours, eights).
 
-Verdict: tokens (runs of letters, digits and ``_``, or runs of other signs) and
+Verdict: tokens (runs of ASCII letters, digits, ``_`` and all beyond ASCII, or runs of other signs) and
 pairs of neighbouring tokens are hashed into ``BUCKETS`` buckets. Two multinomials
 with add-``SMOOTH`` smoothing are counted over all documents: of the trusted
 target (rows with ``labels.quality`` = 1) and of the raw corpus. A document's
@@ -38,8 +38,7 @@ MIN_WORDS = 20
 MAX_REPEAT = 30  # percent
 #: Trusted ids that may be sent to every executor.
 TRUSTED_ROWS = 1_000_000
-SIGNS = "#*$%&|<>"
-TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+"
+TOKEN = r"[0-9A-Z_a-z\x{80}-\x{10FFFF}]+|[^0-9A-Z_a-z\x{80}-\x{10FFFF}\x20\x09-\x0D]+"
 
 
 def _pairwise(a: Column, step: int) -> Column:
@@ -68,10 +67,10 @@ def with_base(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, each behind ``_q_``."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
     text = F.coalesce(F.col("text"), F.lit(""))
-    signs = F.length(text) - F.length(F.translate(text, SIGNS, ""))
-    solid = F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
-    df = docs.select(*cols, F.transform(words(text), lambda w: F.xxhash64(w)).alias("_q_h"), lines.alias("_q_lines"), solid.cast("bigint").alias("_q_word_chars"), signs.cast("bigint").alias("_q_n_symbols"))
+    signs = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = docs.select(*cols, words(text).alias("_q_w"), lines.alias("_q_lines"), signs.cast("bigint").alias("_q_n_symbols"))
+    df = df.select(*cols, F.transform("_q_w", lambda w: F.xxhash64(w)).alias("_q_h"), "_q_lines", F.length(F.array_join("_q_w", "")).cast("bigint").alias("_q_word_chars"), "_q_n_symbols")
     df = df.withColumns({"_q_n_words": F.size("_q_h").cast("bigint"), "_q_n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("bigint"), "_q_g": _pairwise(F.col("_q_h"), 1)}).drop("_q_lines", "_q_h")
     df = df.withColumn("_q_g", _pairwise(F.col("_q_g"), 2))
     df = df.withColumn("_q_g", _pairwise(F.col("_q_g"), 4))
@@ -79,12 +78,15 @@ def with_base(docs: DataFrame) -> DataFrame:
     return df.withColumn("_q_base_failed", (F.col("_q_n_words") < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > MAX_REPEAT * F.col("_q_n_words")))
 
 
-def _with_grams(docs: DataFrame, buckets: int) -> DataFrame:
-    """``docs`` with ``_q_b``: the bucket of each token and each pair of neighbouring tokens."""
+def _with_grams(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_q_g``: hashes of each token and each pair of neighbouring tokens."""
     tokens = F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
     df = docs.withColumn("_q_t", tokens)
-    grams = F.concat(F.col("_q_t"), _pairwise(F.col("_q_t"), 1))
-    return df.withColumn("_q_b", F.transform(grams, lambda g: F.pmod(g, F.lit(buckets)).cast("int"))).drop("_q_t")
+    return df.withColumn("_q_g", F.concat(F.col("_q_t"), _pairwise(F.col("_q_t"), 1))).drop("_q_t")
+
+
+def _bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(gram, F.lit(buckets).cast("bigint")).cast("int")
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH) -> list[int]:
@@ -93,7 +95,7 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, s
     if trusted.limit(TRUSTED_ROWS + 1).count() <= TRUSTED_ROWS:
         trusted = F.broadcast(trusted)  # else both sides are dealt by id
     marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left")
-    grams = _with_grams(marked, buckets).select("_good", F.explode("_q_b").alias("bucket"))
+    grams = _with_grams(marked).select("_good", F.explode("_q_g").alias("gram")).select("_good", _bucket(F.col("gram"), buckets).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_good").alias("good")).collect()  # at most `buckets` rows
     all_raw, all_good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     out = [0] * buckets
@@ -107,10 +109,10 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, s
 def score(docs: DataFrame, weights: list[int]) -> DataFrame:
     """``docs`` with ``_q_score``: mean log ratio of the n-grams of the text, null without any."""
     table_ = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # folds to one constant
-    df = _with_grams(docs, len(weights))
-    total = F.aggregate("_q_b", F.lit(0).cast("bigint"), lambda acc, b: acc + F.get(table_, b))
-    n = F.size("_q_b")
-    return df.withColumn("_q_score", F.when(n > 0, total / n / F.lit(1e6))).drop("_q_b")
+    df = _with_grams(docs)
+    total = F.aggregate("_q_g", F.lit(0).cast("bigint"), lambda acc, g: acc + F.get(table_, _bucket(g, len(weights))))
+    n = F.size("_q_g")
+    return df.withColumn("_q_score", F.when(n > 0, total / n / F.lit(1e6))).drop("_q_g")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -121,8 +123,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that pass, unchanged."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return judge(docs, labels, threshold).where("_q_kept").select(*cols)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return judge(docs.select(row, "doc_id", "text"), labels, threshold).where("_q_kept").select("_row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
