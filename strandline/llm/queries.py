@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from strandline.llm import mixing, quality_rules, sharding
+from strandline.llm import mixing, packing, quality_model, quality_rules, sharding, token_files, toxicity, url_filter
 
-QUERIES = {f.__name__: f for f in (quality_rules.op3_quality_rules, mixing.op4_mixing, sharding.op9_sharding)}
-SQL = {"op4_mixing": mixing.OP4_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        packing.op1_best_fit_packing,
+        quality_model.op2_quality_classifier,
+        quality_rules.op3_quality_rules,
+        mixing.op4_mixing,
+        token_files.op5_token_files,
+        url_filter.op7_url_filter,
+        sharding.op9_sharding,
+        toxicity.op10_toxicity,
+    )
+}
+SQL = {"op4_mixing": mixing.OP4_SQL, "op7_url_filter": url_filter.OP7_SQL}
