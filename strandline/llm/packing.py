@@ -58,7 +58,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: in
     end = int(end_id).to_bytes(4, "little")
     for b in batches:
         rows, piece, start, length, crc, ids = [], [], [], [], [], []
-        for row, raw in enumerate(tok.encode_all(b.column(1).to_pylist())):
+        for row, raw in enumerate(tok.encode_all(b.column(1))):
             raw += end
             n = len(raw) // 4
             first = (n - 1) % capacity + 1

@@ -15,6 +15,7 @@ STRIDE = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _VALUE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLAIN = _VALUE.copy()
 _VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
 _BASE = 0x9E3779B97F4A7C15
 _UNDO = pow(_BASE, -1, 1 << 64)
@@ -35,6 +36,13 @@ def _tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def poly_hashes(data: np.ndarray, first: np.ndarray, stop: np.ndarray, value: np.ndarray = _PLAIN) -> np.ndarray:
+    """A hash of the bytes in each [first, stop)."""
+    power, undo = _tables(len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * power[: len(data)], dtype=np.uint64)])
+    return mix((sums[stop] - sums[first]) * undo[first] + (stop - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every word. ``ends``: first byte of each text and the end."""
     solid = ~_BLANK[data]
@@ -45,11 +53,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     before = np.concatenate([[False], solid[:-1]]) & ~cut[:-1]
     after = np.concatenate([solid[1:], [False]]) & ~cut[1:]
     first, last = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after)
-    power, undo = _tables(len(data))
-    sums = np.cumsum(_VALUE[data] * power[: len(data)], dtype=np.uint64)
-    start = np.where(first > 0, sums[first - 1], np.uint64(0))
-    h = (sums[last] - start) * undo[first] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h), np.searchsorted(ends, first, side="right") - 1
+    return poly_hashes(data, first, last + 1, _VALUE), np.searchsorted(ends, first, side="right") - 1
 
 
 def text_blocks(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -197,7 +197,7 @@ def _files(batches: Iterator[pa.RecordBatch], name: str, end_id: int, file_token
         return row
 
     for b in batches:
-        for doc, raw in zip(b.column(0).to_pylist(), tok.encode_all(b.column(1).to_pylist()), strict=True):
+        for doc, raw in zip(b.column(0).to_pylist(), tok.encode_all(b.column(1)), strict=True):
             docs.append(doc), raws.append(raw + end)
             total += len(raws[-1]) // 4
             if total >= file_tokens:

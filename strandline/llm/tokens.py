@@ -4,36 +4,70 @@ The byte-level pre-tokenizer splits a text into pieces that are encoded one by
 one, so a text may be cut wherever a piece is sure to begin, and each part encoded
 alone with the same ids. Parts repeat much more than texts do; each distinct one
 is encoded once per worker and kept, up to ``KEPT`` parts.
+Parts are cut, hashed (64 bits) and put together as arrays over the UTF-8 bytes.
 
 A piece always begins at a space before a visible character. In texts of ASCII
-and Latin-1 letters, without apostrophes (contractions) special tokens
-and runs of white space that end in a line feed, one also begins wherever a run of letters begins,
-with the space before it, or ends.
+and Latin-1 letters, without apostrophes (contractions), special tokens and runs of
+white space that end in a line feed, one also begins wherever a run of letters
+begins, with the space before it, or ends.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
 
-#: Parts that one worker keeps; then it starts over. Longer parts are not kept.
-KEPT, LONGEST = 1_000_000, 64
-#: Characters that are split at a time.
-STRIDE = 1_000_000
-# U+180E counts as white space for some engines only: no cut before it
-CUT = re.compile("(?= [^\\s\u180e])")
-LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-PLAIN = re.compile(f" ?[{LETTERS}]+|[^{LETTERS}]+?(?= ?[{LETTERS}]|$(?!\\n))")
-NOT_PLAIN = re.compile(f"[^\\n -&(-~{LETTERS}]|[\\n ]\\n|<\\|")
+import numpy as np
+import pyarrow as pa
 
+from strandline.llm.shingles import poly_hashes, text_blocks
 
-def parts_of(text: str) -> list[str]:
-    """The text in parts that can be encoded alone."""
-    return CUT.split(text) if NOT_PLAIN.search(text) else PLAIN.findall(text)
+#: Distinct parts, and ids of these, that one worker keeps; then it starts over.
+KEPT, KEPT_IDS = 1_000_000, 16_000_000
+LEAD = 0xC3  # first byte of the Latin-1 letters
 
 
-_made: dict[str, "WordTokens"] = {}
+def _lut(*codes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for c in codes:
+        out[c] = True
+    return out
+
+
+_LETTER = _lut(slice(ord("A"), ord("Z") + 1), slice(ord("a"), ord("z") + 1), LEAD)
+_FOREIGN = ~_lut(ord("\n"), slice(0x20, 0x7F)) | _lut(ord("'"))
+_BREAK = _lut(ord("\n"), ord(" "))
+# what may follow a space that begins a piece; leads of characters that some count as white space do not
+_SOLID = _lut(slice(0x21, 0x7F), slice(0xC3, 0xE1), slice(0xE4, 0xF8))
+
+
+def parts_at(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First byte of each part and the end: places where texts can be cut and their parts encoded alone."""
+    n = len(data)
+    follows = np.zeros(n, bool)  # second byte of a Latin-1 letter
+    follows[1:] = data[:-1] == LEAD
+    follows[ends[:-1][ends[:-1] < n]] = False
+    letter = _LETTER[data] | follows
+    foreign = _FOREIGN[data] & (data != LEAD) & ~follows
+    foreign |= follows & ((data == 0x97) | (data == 0xB7))  # multiplication and division signs
+    foreign[:-1] |= _BREAK[data[:-1]] & (data[1:] == ord("\n")) | (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    plain = np.ones(len(ends), bool)
+    plain[np.searchsorted(ends, np.flatnonzero(foreign), side="right") - 1] = False
+
+    begins = np.zeros(n + 1, bool)
+    begins[ends] = True
+    at = np.zeros(n + 1, bool)
+    before = np.concatenate([[False], letter[:-1]]) & ~begins[:-1]
+    run = np.flatnonzero(letter & ~before)
+    at[run - ((run > 0) & (data[run - 1] == 0x20) & ~begins[run])] = True
+    at[:-1] |= ~letter & before
+    at[:-1] &= np.repeat(plain[:-1], np.diff(ends))
+    space = np.flatnonzero(data[:-1] == 0x20)
+    at[space[_SOLID[data[space + 1]]]] = True
+    at[ends] = True
+    return np.flatnonzero(at)
+
+
+_made: dict[str, WordTokens] = {}
 
 
 def default_path() -> str:
@@ -50,7 +84,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._kept: dict[str, bytes] = {}
+        self._forget()
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
@@ -58,38 +92,55 @@ class WordTokens:
             _made[path] = cls(path)
         return _made[path]
 
-    def _learn(self, parts: list[str]) -> None:
-        for lo in range(0, len(parts), 20_000):
-            some = parts[lo : lo + 20_000]
-            for p, e in zip(some, self._tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self._kept[p] = array("I", e.ids).tobytes()
+    def _forget(self) -> None:
+        self._entry: dict[int, int] = {}
+        self._first, self._size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._ids, self._used = np.zeros(4096, np.uint32), 0
+
+    def _learn(self, hashes: list[int], parts: list[str]) -> None:
+        got = [np.array(e.ids, np.uint32) for lo in range(0, len(parts), 20_000) for e in self._tok.encode_batch_fast(parts[lo : lo + 20_000], add_special_tokens=False)]
+        size = np.array([len(g) for g in got], np.int64)
+        n, m = len(self._entry), int(size.sum())
+        while len(self._first) < n + len(got):
+            self._first, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._first, self._size))
+        while len(self._ids) < self._used + m:
+            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+        self._ids[self._used : self._used + m] = np.concatenate(got)
+        self._size[n : n + len(got)] = size
+        self._first[n : n + len(got)] = self._used + np.cumsum(size) - size
+        self._entry.update(zip(hashes, range(n, n + len(got)), strict=True))
+        self._used += m
+
+    def _block(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first id of each text and the end)."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
+        if len(self._entry) > KEPT or self._used > KEPT_IDS:
+            self._forget()
+        cuts = parts_at(data, ends)
+        h = poly_hashes(data, cuts[:-1], cuts[1:])
+        distinct, sample, which = np.unique(h, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        entry = list(map(self._entry.get, keys))
+        new = [i for i, e in enumerate(entry) if e is None]
+        if new:
+            raw = data.tobytes()
+            self._learn([keys[i] for i in new], [raw[cuts[s] : cuts[s + 1]].decode() for s in sample[new].tolist()])
+            for i in new:
+                entry[i] = self._entry[keys[i]]
+        entry = np.array(entry, np.int64)[which]
+        size = self._size[entry]
+        last = np.cumsum(size)
+        ids = self._ids[np.repeat(self._first[entry] - (last - size), size) + np.arange(last[-1])]
+        return ids, np.concatenate([[0], last])[np.searchsorted(cuts, ends)]
+
+    def encode_all(self, texts: pa.Array):
+        """Raw ids of each text of a string column, in order."""
+        for _, _, data, ends in text_blocks(texts):
+            ids, at = self._block(data, ends)
+            raw, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
+            for a, z in zip(at, at[1:], strict=False):
+                yield raw[a:z]
 
     def encode(self, text: str | None) -> bytes:
-        return next(self.encode_all([text]))
-
-    def encode_all(self, texts: list[str | None]):
-        """Ids of each text, in order; what is held at a time is bounded by STRIDE and one text."""
-        kept, lo = self._kept, 0
-        while lo < len(texts):
-            parts: list[str] = []
-            ends, chars = [0], 0
-            while lo < len(texts) and (len(ends) == 1 or chars + len(texts[lo] or "") <= STRIDE):
-                if texts[lo]:
-                    parts += parts_of(texts[lo])
-                    chars += len(texts[lo])
-                ends.append(len(parts))
-                lo += 1
-            got = list(map(kept.get, parts))
-            new = [i for i, raw in enumerate(got) if raw is None]
-            if new:
-                if len(kept) > KEPT:
-                    kept.clear()
-                fresh = {parts[i] for i in new}
-                self._learn(list(fresh))
-                for i in new:
-                    got[i] = kept[parts[i]]
-                for p in fresh:
-                    if len(p) > LONGEST:
-                        del kept[p]
-            for a, z in zip(ends, ends[1:], strict=False):
-                yield b"".join(got[a:z])
+        return next(self.encode_all(pa.array([text], pa.string())))
