@@ -339,5 +339,23 @@ def _unpack_lists(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "a bigint, nodes array<bigint>")
 
 
+def keep_one(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The rows of ``docs`` that stay when each group keeps one: that of the smallest doc_id.
+
+    Documents without shingles stay, and so do those without doc_id. Of rows that
+    repeat doc_id and text one stays. What goes is the smaller part, so its ids meet
+    the texts: sent to the executors up to ``IDS``, else in a shuffled join."""
+    found = durable(similar_components(docs, width, num, den).where("n_shingles > 0 and doc_id is not null"))
+    gone = durable(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct())
+    twice = durable(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"))
+    sent = lambda ids: F.broadcast(ids) if ids.limit(IDS + 1).count() <= IDS else ids
+    same = F.col("doc_id") == F.col("_id")
+    stay = docs.join(sent(gone), same, "left_anti")
+    if twice.limit(1).count():
+        once = stay.join(sent(twice), same, "left_semi").dropDuplicates(["doc_id", "text"])
+        stay = stay.join(sent(twice), same, "left_anti").unionByName(once)
+    return stay
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import mixing, packing, quality_model, quality_rules, sharding, token_files, toxicity, url_filter
+from strandline.llm import jaccard_join, lattice_dedup, mixing, packing, quality_model, quality_rules, sharding, token_files, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -12,7 +12,9 @@ QUERIES = {
         quality_rules.op3_quality_rules,
         mixing.op4_mixing,
         token_files.op5_token_files,
+        lattice_dedup.op6_lattice_dedup,
         url_filter.op7_url_filter,
+        jaccard_join.op8_ngram_jaccard_join,
         sharding.op9_sharding,
         toxicity.op10_toxicity,
     )

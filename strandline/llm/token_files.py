@@ -6,7 +6,8 @@ those ids that have one. Every level but the last carries a bitmap that says
 whether an id goes on, with a directory of ranks every ``BLOCK`` bits. Token i is
 read by its chunk of level 0 and, while the bitmap says so, by the chunk at the
 bit's rank on the next level: no block is decoded. The chunk widths are those
-that make the file smallest, by dynamic programming over the counts of id lengths.
+(whole bytes) that make the file smallest, by dynamic programming over the counts
+of id lengths. A run of tokens is a run on every level.
 
 Files are kept as rows (one file each, as BINARY) in a table that Spark's writer
 commits, so any store that Spark knows can hold them and lost tasks leave nothing
@@ -46,11 +47,11 @@ BLOCK = 512
 
 def best_widths(ids: np.ndarray) -> list[int]:
     """Chunk widths, low bits first, with the fewest bits for chunks and continuation marks."""
-    top = max(1, int(ids.max()).bit_length() if len(ids) else 1)
-    reach = [len(ids), *(int((ids >= 1 << b).sum()) for b in range(1, top))]  # ids that have bits from b on
-    cost, width = [0] * (top + 1), [0] * top
-    for b in range(top - 1, -1, -1):
-        cost[b], width[b] = min((reach[b] * (w + (b + w < top)) + cost[b + w], w) for w in range(1, top - b + 1))
+    top = -(-max(1, int(ids.max()).bit_length() if len(ids) else 1) // 8) * 8
+    reach = {b: int((ids >= 1 << b).sum()) if b else len(ids) for b in range(0, top, 8)}  # ids that have bits from b on
+    cost, width = {top: 0}, {}
+    for b in range(top - 8, -1, -8):
+        cost[b], width[b] = min((reach[b] * (w + (b + w < top)) + cost[b + w], w) for w in (8, 16, 32) if b + w <= top)
     out, b = [], 0
     while b < top:
         out.append(width[b])
@@ -58,26 +59,6 @@ def best_widths(ids: np.ndarray) -> list[int]:
     return out
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    if width in (8, 16, 32):
-        return values.astype(f"<u{width // 8}").tobytes()
-    raw = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=width)
-    return np.packbits(raw.ravel(), bitorder="little").tobytes()
-
-
-def _unpack(raw: memoryview, width: int, at: np.ndarray) -> np.ndarray:
-    """Values at the given places of a packed array."""
-    if width in (8, 16, 32):
-        return np.frombuffer(raw, f"<u{width // 8}")[at].astype(np.uint64)
-    data = np.frombuffer(raw, np.uint8)
-    bit = at.astype(np.int64) * width
-    first, shift = bit >> 3, (bit & 7).astype(np.uint64)
-    out = np.zeros(len(at), np.uint64)
-    for k in range((width + 14) // 8):
-        out |= data[np.minimum(first + k, len(data) - 1)].astype(np.uint64) << np.uint64(8 * k)
-    return (out >> shift) & np.uint64((1 << width) - 1)
-
-
 def encode_file(doc_ids: list[int | None], n_tokens: np.ndarray, ids: np.ndarray) -> bytes:
     """One file: header, index of documents, levels with bitmap and rank directory."""
     widths = best_widths(ids)
@@ -85,7 +66,7 @@ def encode_file(doc_ids: list[int | None], n_tokens: np.ndarray, ids: np.ndarray
     out = [MAGIC, struct.pack("<QQB", len(ids), len(doc_ids), len(widths)), bytes(widths), known.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), n_tokens.astype("<u8").tobytes()]
     rest = ids.astype(np.uint32)
     for k, w in enumerate(widths):
-        chunks = _pack(rest & np.uint32((1 << w) - 1), w)
+        chunks = (rest & np.uint32((1 << w) - 1)).astype(f"<u{w // 8}").tobytes()
         out += [struct.pack("<QQ", len(rest), len(chunks)), chunks]
         rest = rest >> np.uint32(w)
         if k + 1 < len(widths):
@@ -145,7 +126,7 @@ class TokenFile:
         out, shift = np.zeros(len(places), np.uint64), 0
         alive, at = np.arange(len(places)), places.astype(np.int64)
         for w, (chunks, bits, ranks) in zip(self.widths, self._levels, strict=True):
-            out[alive] |= _unpack(chunks, w, at) << np.uint64(shift)
+            out[alive] |= np.frombuffer(chunks, f"<u{w // 8}")[at].astype(np.uint64) << np.uint64(shift)
             shift += w
             if bits is None:
                 break
@@ -171,7 +152,22 @@ class TokenFile:
         return int(self.at(np.array([i]))[0])
 
     def tokens(self, lo: int, hi: int) -> np.ndarray:
-        return self.at(np.arange(lo, hi))
+        """Ids lo..hi-1: a run on every level, found by two ranks."""
+        out, shift, alive = np.zeros(hi - lo, np.uint32), 0, None
+        for w, (chunks, bits, ranks) in zip(self.widths, self._levels, strict=True):
+            part = np.frombuffer(chunks, f"<u{w // 8}")[lo:hi].astype(np.uint32)
+            if alive is None:
+                out[:] = part
+            else:
+                out[alive] |= part << np.uint32(shift)
+            shift += w
+            if bits is None or lo == hi:
+                break
+            on = np.flatnonzero(np.unpackbits(bits[lo >> 3 : (hi + 7) >> 3], bitorder="little")[lo & 7 : (lo & 7) + hi - lo])
+            alive = on if alive is None else alive[on]
+            lo = int(self._rank(bits, ranks, np.array([lo]))[0])
+            hi = lo + len(on)
+        return out
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer: str | None = None, file_tokens: int = FILE_TOKENS) -> None:
