@@ -5,9 +5,9 @@ bits first; level 0 has the first chunk of every id, level k the (k+1)-th chunk
 those ids that have one. Every level but the last carries a bitmap that says
 whether an id goes on, with a directory of ranks every ``BLOCK`` bits. Token i is
 read by its chunk of level 0 and, while the bitmap says so, by the chunk at the
-bit's rank on the next level: no block is decoded. The chunk widths are those
-(whole bytes) that make the file smallest, by dynamic programming over the counts
-of id lengths. A run of tokens is a run on every level.
+bit's rank on the next level: no block is decoded. Chunks are whole
+bytes; a file has as many levels as its largest id has bytes. A run of tokens is a
+run on every level.
 
 Files are kept as rows (one file each, as BINARY) in a table that Spark's writer
 commits, so any store that Spark knows can hold them and lost tasks leave nothing
@@ -45,23 +45,14 @@ FILE_TOKENS = 2_000_000
 BLOCK = 512
 
 
-def best_widths(ids: np.ndarray) -> list[int]:
-    """Chunk widths, low bits first, with the fewest bits for chunks and continuation marks."""
-    top = -(-max(1, int(ids.max()).bit_length() if len(ids) else 1) // 8) * 8
-    reach = {b: int((ids >= 1 << b).sum()) if b else len(ids) for b in range(0, top, 8)}  # ids that have bits from b on
-    cost, width = {top: 0}, {}
-    for b in range(top - 8, -1, -8):
-        cost[b], width[b] = min((reach[b] * (w + (b + w < top)) + cost[b + w], w) for w in (8, 16, 32) if b + w <= top)
-    out, b = [], 0
-    while b < top:
-        out.append(width[b])
-        b += width[b]
-    return out
+def chunk_widths(ids: np.ndarray) -> list[int]:
+    """Chunk widths, low bits first: a byte for each level."""
+    return [8] * max(1, -(-int(ids.max()).bit_length() // 8) if len(ids) else 1)
 
 
 def encode_file(doc_ids: list[int | None], n_tokens: np.ndarray, ids: np.ndarray) -> bytes:
     """One file: header, index of documents, levels with bitmap and rank directory."""
-    widths = best_widths(ids)
+    widths = chunk_widths(ids)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     out = [MAGIC, struct.pack("<QQB", len(ids), len(doc_ids), len(widths)), bytes(widths), known.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), n_tokens.astype("<u8").tobytes()]
     rest = ids.astype(np.uint32)
