@@ -5,8 +5,8 @@ windows that occur more than once. All is computed inside the row by array
 functions, so no text is shuffled. Windows are compared by 64-bit hashes, built
 by doubling (pairs, fours, eights).
 
-Verdict: tokens (runs of ASCII letters, digits, ``_`` and all beyond ASCII, or runs of other signs) and
-pairs of neighbouring tokens are hashed into ``BUCKETS`` buckets. Two multinomials
+Verdict: each word, and the last two characters of each word, is an n-gram, hashed
+into one of ``BUCKETS`` buckets. Two multinomials
 with add-``SMOOTH`` smoothing are counted over all documents: of the trusted
 target (rows with ``labels.quality`` = 1) and of the raw corpus. A document's
 score is the sum of log(target/raw) over its n-grams divided by their number; it
@@ -38,7 +38,7 @@ MIN_WORDS = 20
 MAX_REPEAT = 30  # percent
 #: Trusted ids that may be sent to every executor.
 TRUSTED_ROWS = 1_000_000
-TOKEN = r"[0-9A-Z_a-z\x{80}-\x{10FFFF}]+|[^0-9A-Z_a-z\x{80}-\x{10FFFF}\x20\x09-\x0D]+"
+TAIL = 2
 
 
 def _pairwise(a: Column, step: int) -> Column:
@@ -63,28 +63,23 @@ def _with_repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("_q_n_repeat_words", F.when(F.col("_q_s").isNull(), 0).otherwise(covered).cast("bigint")).drop("_q_s")
 
 
-def with_base(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, each behind ``_q_``."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+def with_words(docs: DataFrame) -> DataFrame:
+    """``docs`` with _q_w (words), _q_h (their hashes) and _q_e (hashes of their last two characters)."""
+    df = docs.withColumn("_q_w", words(F.col("text")))
+    return df.withColumns({"_q_h": F.transform("_q_w", lambda w: F.xxhash64(w)), "_q_e": F.transform("_q_w", lambda w: F.xxhash64(F.substring(w, -TAIL, TAIL)))})
+
+
+def with_base(df: DataFrame) -> DataFrame:
+    """``df`` (with words) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, each behind ``_q_``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     signs = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.select(*cols, words(text).alias("_q_w"), lines.alias("_q_lines"), signs.cast("bigint").alias("_q_n_symbols"))
-    df = df.select(*cols, F.transform("_q_w", lambda w: F.xxhash64(w)).alias("_q_h"), "_q_lines", F.length(F.array_join("_q_w", "")).cast("bigint").alias("_q_word_chars"), "_q_n_symbols")
-    df = df.withColumns({"_q_n_words": F.size("_q_h").cast("bigint"), "_q_n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("bigint"), "_q_g": _pairwise(F.col("_q_h"), 1)}).drop("_q_lines", "_q_h")
-    df = df.withColumn("_q_g", _pairwise(F.col("_q_g"), 2))
-    df = df.withColumn("_q_g", _pairwise(F.col("_q_g"), 4))
-    df = _with_repeat_words(df)
+    df = df.withColumns({"_q_lines": lines, "_q_n_symbols": signs.cast("bigint"), "_q_word_chars": F.length(F.array_join("_q_w", "")).cast("bigint"), "_q_n_words": F.size("_q_h").cast("bigint"), "_q_g": _pairwise(F.col("_q_h"), 1)}).drop("_q_w", "_q_h")
+    df = df.withColumns({"_q_n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("bigint"), "_q_g": _pairwise(F.col("_q_g"), 2)}).drop("_q_lines")
+    df = _with_repeat_words(df.withColumn("_q_g", _pairwise(F.col("_q_g"), 4)))
     return df.withColumn("_q_base_failed", (F.col("_q_n_words") < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > MAX_REPEAT * F.col("_q_n_words")))
 
 
-def _with_grams(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_q_g``: hashes of each token and each pair of neighbouring tokens."""
-    tokens = F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
-    df = docs.withColumn("_q_t", tokens)
-    return df.withColumn("_q_g", F.concat(F.col("_q_t"), _pairwise(F.col("_q_t"), 1))).drop("_q_t")
-
-
 def _bucket(gram: Column, buckets: int) -> Column:
     return F.pmod(gram, F.lit(buckets).cast("bigint")).cast("int")
 
@@ -95,7 +90,7 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, s
     if trusted.limit(TRUSTED_ROWS + 1).count() <= TRUSTED_ROWS:
         trusted = F.broadcast(trusted)  # else both sides are dealt by id
     marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left")
-    grams = _with_grams(marked).select("_good", F.explode("_q_g").alias("gram")).select("_good", _bucket(F.col("gram"), buckets).alias("bucket"))
+    grams = with_words(marked).select("_good", F.explode(F.concat("_q_h", "_q_e")).alias("gram")).select("_good", _bucket(F.col("gram"), buckets).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_good").alias("good")).collect()  # at most `buckets` rows
     all_raw, all_good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     out = [0] * buckets
@@ -106,19 +101,27 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, s
     return out
 
 
-def score(docs: DataFrame, weights: list[int]) -> DataFrame:
-    """``docs`` with ``_q_score``: mean log ratio of the n-grams of the text, null without any."""
+def with_score(df: DataFrame, weights: list[int]) -> DataFrame:
+    """``df`` (with words) and ``_q_score``: mean log ratio of the n-grams of the text, null without any."""
     table_ = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # folds to one constant
-    df = _with_grams(docs)
-    total = F.aggregate("_q_g", F.lit(0).cast("bigint"), lambda acc, g: acc + F.get(table_, _bucket(g, len(weights))))
-    n = F.size("_q_g")
-    return df.withColumn("_q_score", F.when(n > 0, total / n / F.lit(1e6))).drop("_q_g")
+    add = lambda acc, g: acc + F.get(table_, _bucket(g, len(weights)))
+    total = F.aggregate("_q_e", F.aggregate("_q_h", F.lit(0).cast("bigint"), add), add)
+    n = 2 * F.size("_q_h")
+    return df.withColumn("_q_score", F.when(n > 0, total / n / F.lit(1e6))).drop("_q_e")
+
+
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the base columns, ``_q_score`` and ``_q_kept``; one narrow pass after the counting pass."""
-    scored = with_base(score(docs, bucket_weights(docs, labels)))
-    return scored.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.coalesce("_q_score", F.lit(-1e9)) >= threshold))
+    """``docs`` with the columns RESULTS, each behind ``_q_``; one narrow pass after the counting pass.
+
+    The results leave through a generator of one row: a later filter on them would
+    else be pushed below and compute the arrays anew for each of its references."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    scored = with_base(with_score(with_words(docs), bucket_weights(docs, labels)))
+    scored = scored.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.coalesce("_q_score", F.lit(-1e9)) >= threshold))
+    return scored.select(*cols, F.inline(F.array(F.struct(*[F.col(f"_q_{n}").alias(f"_q_{n}") for n in RESULTS]))))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -130,5 +133,4 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = judge(docs, table(spark, sf_dir, "labels"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
-    return out.select("doc_id", *[F.col(f"_q_{n}").alias(n) for n in names])
+    return out.select("doc_id", *[F.col(f"_q_{n}").alias(n) for n in RESULTS])
