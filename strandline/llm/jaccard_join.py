@@ -20,13 +20,16 @@ band the universe of shingle hashes is divided into segments:
 Common shingles are estimated on a bounded sample of documents (``SAMPLE``); the
 estimate steers cost only, never what is found: any choice gives all links.
 
-Equal sets are one class from the start (a 64-bit fingerprint), so copies cost one
-signature set per task and are never expanded. Signatures travel in arrays, many to
-a row, dealt by hash ranges to buckets. A bucket emits, for each signature, pairs
-of the smallest class with the others, and the list of its classes. Pairs are
-verified on whole sets; components are formed; then, for lists whose classes are
-still in different components, the pairs between components are verified too.
-Pairs inside one component need no check for the components to be exact.
+Equal sets are one class from the start, named by a fingerprint whose low bits tell
+the size to one per cent. Copies thus cost one signature set per task and are never
+expanded. Signatures travel in arrays, many to a row, dealt by hash ranges to
+buckets. A bucket orders the classes under a signature by size and emits the pairs
+of neighbours that may be similar by size, and the list. Pairs are verified in two
+steps: on the quarter of the universe with the smallest hashes, where a pair that
+already differs too much ends, then on whole sets. Components are formed; then, for
+lists whose classes are still in different components, the pairs between
+components are verified too. Pairs inside one component need no check for the
+components to be exact, and no pairs of one large group are spelled out.
 
 Defined cases: A-Z are lower-cased; null and empty text has no shingles and links
 with nothing; repeated rows are copies of each other; null doc_ids join components
@@ -36,6 +39,8 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +57,7 @@ NUM, DEN = 80, 100
 #: Up to this size, bands grow by the similarity and sign one-deletion neighbourhoods; above, they double.
 SMALL = 64
 #: Documents in the sample that tells common shingles, how many of them make one common, and how many are told.
-SAMPLE, COMMON, TOLD = 20_000, 12, 1_000_000
+SAMPLE, COMMON, TOLD = 10_000, 6, 1_000_000
 #: Signatures that a task gathers before it sends them, and buckets for each shuffle partition.
 FLUSH, BUCKETS_EACH = 1_000_000, 8
 #: Ids of documents to compare that may be sent to every executor.
@@ -126,10 +131,19 @@ def signatures(u: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+#: Low bits of a fingerprint that hold the size, in steps of one per cent.
+SIZE_BITS = 12
+
+
 def fingerprint(u: np.ndarray) -> int:
-    """A signed 64-bit number for the set, the same for equal sets."""
-    x = mix(np.array([int(mix(u).sum(dtype=np.uint64)) + len(u) * 0x9E3779B9 & (1 << 64) - 1], np.uint64))
-    return int(x.view(np.int64)[0])
+    """A signed 64-bit number for the set, the same for equal sets; the low bits order sets by size."""
+    x = int(mix(np.array([int(mix(u).sum(dtype=np.uint64)) + len(u) * 0x9E3779B9 & (1 << 64) - 1], np.uint64)).view(np.int64)[0])
+    return x >> SIZE_BITS << SIZE_BITS | int(math.log(len(u)) / math.log(1.01))
+
+
+def size_reach(num: int, den: int) -> int:
+    """Steps of size that two similar sets are apart at most."""
+    return math.ceil(math.log(den / num) / math.log(1.01)) + 1
 
 
 STAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -179,8 +193,8 @@ MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n
 MET_SQL = "kind int, a bigint, b bigint, n bigint, list binary"
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: doc_id, fingerprint, set size; 1: pair of classes; 2: list hash and the classes under one signature."""
+def _meet(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """Kind 0: doc_id, fingerprint, set size; 1: pair of classes that may be similar; 2: list hash and the classes under one signature."""
     bucket, sigs, nodes = None, [], []
 
     def out(kind, a, b, n, lists=None):
@@ -195,14 +209,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, n = s[shared], n[shared]
         if not len(s):
             return
-        order = np.lexsort((n, s))
-        s, n = s[order], n[order]
+        sized = n & ((1 << SIZE_BITS) - 1)
+        order = np.lexsort((n, sized, s))
+        s, n, sized = s[order], n[order], sized[order]
         fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])])
-        s, n = s[fresh], n[fresh]
+        s, n, sized = s[fresh], n[fresh], sized[fresh]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         size = np.diff(np.append(first, len(s)))
-        hub = np.repeat(n[first], size)
-        pairs = np.unique(np.stack([hub, n], axis=1)[hub != n], axis=0)
+        near = (s[1:] == s[:-1]) & (sized[1:] - sized[:-1] <= reach)
+        pairs = np.stack([n[:-1], n[1:]], axis=1)[near]
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         if len(pairs):
             yield out(1, pa.array(pairs[:, 0]), pairs[:, 1], np.zeros(len(pairs), np.int64))
         lists, told = [], set()
@@ -232,7 +248,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_shingles(docs: DataFrame, width: int, sample: int = SAMPLE, common: int = COMMON) -> np.ndarray:
-    """Sorted hashes of shingles that are common in a sample of about ``sample`` different sets; a guide to cost only."""
+    """Sorted hashes of shingles that are common in a sample of about ``sample`` documents; a guide to cost only."""
     total = docs.count()
     some = docs.select("doc_id", "text")
     if total > sample:
@@ -241,11 +257,9 @@ def common_shingles(docs: DataFrame, width: int, sample: int = SAMPLE, common: i
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for some in shingle_sets(b.column(1), width):
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(u) for u in some if len(u)], pa.int64()), pa.array([u.view(np.int64) for u in some if len(u)], pa.list_(pa.int64()))], ["fp", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array([u.view(np.int64) for u in some], pa.list_(pa.int64()))], ["u"])
 
-    # copies count once
-    rows = some.mapInArrow(sets, "fp bigint, u array<bigint>").select("fp", F.explode("u").alias("u")).distinct()
-    often = rows.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= common)
+    often = some.mapInArrow(sets, "u array<bigint>").select(F.explode("u").alias("u")).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= common)
     got = often.orderBy(F.desc("n"), "u").limit(TOLD).select("u").toArrow().column("u").to_numpy()
     return np.sort(got.view(np.uint64))
 
@@ -256,17 +270,31 @@ def candidates(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     ship(spark)
     parts = shuffle_partitions(spark)
     sent = spark.sparkContext.broadcast(common_shingles(docs, width))  # at most TOLD numbers
-    n = parts * BUCKETS_EACH
+    n, reach = parts * BUCKETS_EACH, size_reach(bands.num, bands.den)
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda b: _emit(b, width, bands, sent.value, n), STAGE_SQL)
-    return durable(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_meet, MET_SQL))
+    return durable(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: _meet(b, reach), MET_SQL))
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: distinct, durable) whose sets are similar."""
-    spark = docs.sparkSession
+def _free(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files that only finished, checkpointed plans refer to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: distinct, durable) whose sets are similar. ``reps``: fp and doc_id of one document of each class."""
+    some = _compare(docs, reps, pairs, width, num, den, 1 << 64 - 2)
+    _free(docs.sparkSession)
+    out = _compare(docs, reps, some, width, num, den, 1 << 64)
+    _free(docs.sparkSession)
+    return out
+
+
+def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num: int, den: int, below: int) -> DataFrame:
+    """Pairs that differ in no more shingles than similar sets may, counting hashes under ``below`` alone."""
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    ids = durable(classes.where("doc_id is not null").join(wanted, "fp", "left_semi").select(F.col("doc_id").alias("_id")).distinct())
-    few = ids.count() <= IDS
+    ids = durable(reps.join(wanted, "fp", "left_semi").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct())
+    few = ids.limit(IDS + 1).count() <= IDS
     some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     known = some.where("doc_id is not null")
     known = known.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
@@ -274,29 +302,32 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, nu
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for some in shingle_sets(b.column(1), width):
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(u) for u in some], pa.int64()), pa.array([u.tobytes() for u in some], pa.binary())], ["fp", "u"])
+                some = [u for u in some if len(u)]
+                cut = [u if below == 1 << 64 else u[: np.searchsorted(u, np.uint64(below))] for u in some]
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(u) for u in some], pa.int64()), pa.array([len(u) for u in some], pa.int64()), pa.array([u.tobytes() for u in cut], pa.binary())], ["fp", "n", "u"])
 
-    found = known.unionByName(some.where("doc_id is null")).mapInArrow(sets, "fp bigint, u binary").dropDuplicates(["fp"])
-    both = pairs.join(found.select(F.col("fp").alias("a"), F.col("u").alias("ua")), "a").join(found.select(F.col("fp").alias("b"), F.col("u").alias("ub")), "b").select("a", "b", "ua", "ub")
+    # a class comes more than once only where rows repeat a doc_id or have none
+    found = known.unionByName(some.where("doc_id is null")).mapInArrow(sets, "fp bigint, n bigint, u binary")
+    side = lambda k: found.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("u").alias(f"u{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ua", "ub")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
+            for m, n, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
-                    ok.append(False)
-                    continue
                 if len(x) > len(y):
                     x, y = y, x
-                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                ok.append(den * same >= num * (len(x) + len(y) - same))
+                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+                apart = len(x) + len(y) - 2 * same
+                # with all hashes, the same as den * |common| >= num * |either|
+                ok.append(min(m, n) * den >= max(m, n) * num and apart * (den + num) <= (den - num) * (m + n))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return durable(both.mapInArrow(check, "a bigint, b bigint"))
+    return durable(both.mapInArrow(check, "a bigint, b bigint").distinct())
 
 
-def cross_pairs(lists: DataFrame, comp: DataFrame) -> DataFrame:
+def cross_pairs(lists: DataFrame, comp: DataFrame, reach: int) -> DataFrame:
     """Pairs of classes that share a list but no component yet. Lists within one component end here."""
     members = lists.select("a", F.explode("nodes").alias("node"))
     members = members.join(comp.withColumnRenamed("component", "c"), "node", "left").select("a", "node", F.coalesce("c", "node").alias("c"))
@@ -306,7 +337,8 @@ def cross_pairs(lists: DataFrame, comp: DataFrame) -> DataFrame:
     # those outside the list's largest component, with all of the list: no pair within a component arises
     x = members.where("c != main").select("a", F.col("node").alias("x"), F.col("c").alias("cx"))
     y = members.select("a", F.col("node").alias("y"), F.col("c").alias("cy"), "main")
-    met = x.join(y, "a").where("cx != cy and (cy = main or x < y)")
+    size = lambda c: F.col(c).bitwiseAND(F.lit((1 << SIZE_BITS) - 1).cast("bigint"))
+    met = x.join(y, "a").where("cx != cy and (cy = main or x < y)").where(F.abs(size("x") - size("y")) <= reach)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -315,15 +347,17 @@ def similar_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     met = candidates(docs, width, Bands(num, den))
     classes = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), F.col("n").alias("n_shingles"))
     pairs = durable(met.where("kind = 1").select("a", "b").distinct())
-    links = verify(docs, classes, pairs, width, num, den)
+    reps = durable(classes.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+    _free(docs.sparkSession)
+    links = verify(docs, reps, pairs, width, num, den)
     comp = components(links, "a", "b")
     to_nodes = _unpack_lists(met.where("kind = 2").select("a", "list").dropDuplicates(["a"]))
-    more = durable(cross_pairs(to_nodes, comp).join(pairs, ["a", "b"], "left_anti"))
+    more = durable(cross_pairs(to_nodes, comp, size_reach(num, den)).join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = links.unionByName(verify(docs, classes, more, width, num, den))
+        links = links.unionByName(verify(docs, reps, more, width, num, den))
         comp = components(links, "a", "b")
     # the smallest doc_id of each class, then of each component
-    least = classes.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = reps.withColumnRenamed("doc_id", "least")
     groups = comp.select(F.col("node").alias("fp"), "component").join(least, "fp")
     groups = groups.join(groups.groupBy("component").agg(F.min("least").alias("first")), "component").select("fp", "first")
     named = least.join(groups, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("first", "least").alias("component_id"))
