@@ -25,15 +25,15 @@ from strandline.runtime import durable, join_small, table
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
-SEEDS = 16
+SEEDS = 64
 GRAIN = 65536
 
 
 def draw(doc_id: Column, seed: Column) -> Column:
-    """A whole number in [0, GRAIN) from four hex digits of md5(doc_id); seeds 0..7 pick the digits, 8.. a second digest."""
-    key = F.coalesce(doc_id.cast("string"), F.lit(""))
-    digest = F.concat(F.md5(key.cast("binary")), F.md5(F.concat(key, F.lit("#")).cast("binary")))
-    return F.conv(F.substring(digest, seed * 4 + 1, F.lit(4)), 16, 10).cast("bigint")
+    """A whole number in [0, GRAIN): (a + seed * b) mod GRAIN, with a and b from md5(doc_id)."""
+    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    part = lambda k: F.conv(F.substring(digest, k, 4), 16, 10).cast("bigint")
+    return F.pmod(part(1) + seed * part(5), F.lit(GRAIN))
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -49,7 +49,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> Dat
     # if all sources before this one stop at their limit, this is the level of the rest
     by = by.withColumn("_level", (F.col("_total") - F.coalesce(F.sum(F.lit(limit) * F.col("source_size")).over(before), F.lit(0))) / F.sum("weight").over(after))
     fits = F.when(F.col("_level") * F.col("weight") <= limit * F.col("source_size"), F.col("_level"))
-    by = by.withColumn("_level", F.min(fits).over(every))
+    by = by.withColumn("_level", F.max(fits).over(every))  # the first that fits; later ones are lower
     return by.select("source", "source_size", "weight", F.least(F.col("_level") * F.col("weight"), (limit * F.col("source_size")).cast("double")).alias("target"))
 
 
@@ -109,7 +109,7 @@ level AS (
   FROM per),
 targets AS (
   SELECT source, source_size,
-         least(min(CASE WHEN lev * weight <= 3 * source_size THEN lev END) OVER () * weight, CAST(3 * source_size AS DOUBLE)) AS target
+         least(max(CASE WHEN lev * weight <= 3 * source_size THEN lev END) OVER () * weight, CAST(3 * source_size AS DOUBLE)) AS target
   FROM level),
 rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
@@ -117,8 +117,8 @@ plan AS (
   SELECT source, source_size, target, CAST(floor(rate) AS BIGINT) AS whole, CAST(floor((rate - floor(rate)) * 65536) AS BIGINT) AS cut FROM rates),
 draws AS (
   SELECT d.source, d.doc_id, d.size, k.k,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')) || md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#'), CAST(k.k * 4 + 1 AS BIGINT), 4) AS BIGINT) AS u
-  FROM sized d, range(16) k(k)),
+         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) AS BIGINT) + k.k * CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 5, 4) AS BIGINT)) % 65536 AS u
+  FROM sized d, range(64) k(k)),
 tried AS (
   SELECT p.source, d.k, abs(CAST(sum(p.whole * d.size + CASE WHEN d.u < p.cut THEN d.size ELSE 0 END) AS BIGINT) - any_value(p.target)) AS miss
   FROM draws d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source GROUP BY p.source, d.k),

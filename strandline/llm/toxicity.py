@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.chars import blocks, gram_hashes, labelled_sample, sigmoid
 from strandline.llm.words import crc_remainder
-from strandline.runtime import ship, table
+from strandline.runtime import durable, ship, table
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -54,10 +54,26 @@ def _distinct(texts: list[str | None], wanted: np.ndarray | None) -> Iterator[tu
         yield len(ends) - 1, pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """feature, documents of class 0 and of class 1 that have it: partial sums of a batch."""
+    for b in batches:
+        y, at = b.column(1).to_numpy(zero_copy_only=False), 0
+        n = np.zeros((2, 1 << BITS), np.int64)
+        for size, doc, feat in _distinct(b.column(0).to_pylist(), None):
+            for c in (0, 1):
+                n[c] += np.bincount(feat[y[at + doc] == c], minlength=1 << BITS)
+            at += size
+        some = np.flatnonzero(n.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[0, some]), pa.array(n[1, some])], ["feat", "n0", "n1"])
+
+
+def _bags(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Wanted features of each text, with its label."""
+    keep = np.zeros(1 << BITS, bool)
+    keep[wanted] = True
     for b in batches:
         rows = []
-        for n, doc, feat in _distinct(b.column(0).to_pylist(), None):
+        for n, doc, feat in _distinct(b.column(0).to_pylist(), keep):
             cuts = np.searchsorted(doc, np.arange(n + 1))
             rows += [feat[a:z].astype("<u4").tobytes() for a, z in zip(cuts, cuts[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1)], ["feats", "label"])
@@ -77,21 +93,27 @@ class Model:
         return sigmoid(np.concatenate(out) + self.bias) if out else np.zeros(0)
 
 
-def fit_rows(bags: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> Model:
-    size, seen = 1 << BITS, sum(counts.values())
+def log_count_ratios(feats: np.ndarray, n0: np.ndarray, n1: np.ndarray, total0: int, total1: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features worth keeping and their ratios; ``total``: sums of counts over all features of a class. The median ratio is taken as neutral."""
+    size = 1 << BITS
+    ratio = np.log((n1 + 1) / (total1 + size)) - np.log((n0 + 1) / (total0 + size))
+    ratio = ratio - np.median(ratio) if len(ratio) else ratio
+    used = np.abs(ratio) >= MIN_RATIO
+    return feats[used], ratio[used]
+
+
+def constant(counts: dict[int, int]) -> Model:
+    seen = sum(counts.values())
+    share = counts.get(1, 0) / seen if seen else 0.0
+    return Model(np.zeros(1 << BITS), -60.0 if share == 0 else 60.0 if share == 1 else math.log(share / (1 - share)))
+
+
+def fit_rows(bags: list[np.ndarray], y: np.ndarray, counts: dict[int, int], feats: np.ndarray, r: np.ndarray) -> Model:
+    """Logistic regression on presence times ratio. ``bags``: kept features of each document."""
     if not (counts.get(0) and counts.get(1) and (y == 0).any() and (y == 1).any()):
-        share = counts.get(1, 0) / seen if seen else 0.0
-        return Model(np.zeros(size), -60.0 if share == 0 else 60.0 if share == 1 else math.log(share / (1 - share)))
-    of = [np.bincount(np.concatenate([b for b, k in zip(bags, y, strict=True) if k == c]), minlength=size).astype(float) for c in (0, 1)]
-    ratio = np.log((of[1] + 1) / (of[1] + 1).sum()) - np.log((of[0] + 1) / (of[0] + 1).sum())
-    ratio -= np.median(ratio[of[0] + of[1] >= MIN_DOCS]) if (of[0] + of[1] >= MIN_DOCS).any() else 0
-    used = (of[0] + of[1] >= MIN_DOCS) & (np.abs(ratio) >= MIN_RATIO)
-    place = np.full(size, -1)
-    place[used] = np.arange(int(used.sum()))
-    kept = [place[b[used[b]]] for b in bags]
-    col = np.concatenate(kept) if kept else np.zeros(0, int)
-    row = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
-    r = ratio[used]
+        return constant(counts)
+    col = np.searchsorted(feats, np.concatenate(bags)) if len(feats) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(bags)), [len(k) for k in bags])
     w, b, gw, gb = np.zeros(len(r)), 0.0, np.full(len(r), 1e-8), 1e-8
     for _ in range(200):  # AdaGrad on the whole sample
         p = sigmoid(np.bincount(row, (w * r)[col], minlength=len(y)) + b)
@@ -101,8 +123,8 @@ def fit_rows(bags: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> M
         gb += gradb**2
         w -= 0.2 * grad / np.sqrt(gw)
         b -= 0.2 * gradb / math.sqrt(gb)
-    weights = np.zeros(size)
-    weights[used] = w * r
+    weights = np.zeros(1 << BITS)
+    weights[feats] = w * r
     # the sample is balanced; the labels are not
     shift = math.log(counts[1] / counts[0]) - math.log((y == 1).sum() / (y == 0).sum())
     return Model(weights, b + shift)
@@ -111,9 +133,15 @@ def fit_rows(bags: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> M
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     ship(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, "toxic", MOD, HELD, per_class)
-    got = sample.mapInArrow(_features, "feats binary, label int").toArrow()  # at most 2 * per_class rows
+    sample = durable(sample)  # at most 2 * per_class rows
+    n = sample.mapInArrow(_counts, "feat bigint, n0 bigint, n1 bigint").groupBy("feat").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    n = durable(n)
+    total = n.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("t0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("t1")).first()
+    common = n.where(F.col("n0") + F.col("n1") >= MIN_DOCS).orderBy("feat").toArrow()  # at most 2**BITS rows
+    feats, r = log_count_ratios(*(common.column(c).to_numpy() for c in ("feat", "n0", "n1")), total["t0"], total["t1"])
+    got = sample.mapInArrow(lambda b: _bags(b, feats), "feats binary, label int").toArrow()
     bags = [np.frombuffer(x, "<u4").astype(np.int64) for x in got.column("feats").to_pylist()]
-    return fit_rows(bags, np.array(got.column("label").to_pylist(), float), counts)
+    return fit_rows(bags, np.array(got.column("label").to_pylist(), float), counts, feats, r)
 
 
 def _scorer(spark: SparkSession, model: Model):
