@@ -442,11 +442,12 @@ def quantize_bayes(spark, sf_dir):
 
 
 @query(
-    WORDS_SQL + """, r AS (SELECT track_id, word_idx, start, "end", lag("end") OVER (PARTITION BY track_id ORDER BY start, "end") AS pe FROM words)
-SELECT track_id, min(start) AS at FROM r WHERE start >= "end" OR pe <> start GROUP BY track_id"""
+    _SPARSE
+    + """, r AS (SELECT track_id, start, "end", lag("end") OVER (PARTITION BY track_id ORDER BY start, "end") AS pe FROM sp)
+SELECT track_id, min(start) AS place, min(CASE WHEN start >= "end" THEN 'empty' ELSE 'not contiguous' END) AS problem FROM r WHERE start >= "end" OR pe <> start GROUP BY track_id"""
 )
 def tiling_check(spark, sf_dir):
-    return intervals.check_tiling(words_of(spark, sf_dir), ["track_id"]).select("track_id", "at")
+    return intervals.check_tiling(_sparse(spark, sf_dir)[0], ["track_id"]).select("track_id", F.col("at").alias("place"), "problem")
 
 
 del W, by_track, ticks

@@ -44,8 +44,8 @@ def softmax_argmax(spark, sf_dir):
 
 @query(
     _EMB
-    + """, s AS (SELECT vec_id, list_transform(v, lambda x: abs(x)) AS s FROM e), a AS (SELECT *, list_position(s, list_max(s)) - 1 AS at FROM s),
-b AS (SELECT *, greatest(0, at - 4) AS lo, least(63, at + 4) AS hi FROM a),
+    + """, s AS (SELECT vec_id, list_transform(v, lambda x: abs(x)) AS s FROM e), a AS (SELECT *, list_position(s, list_max(s)) - 1 AS pk FROM s),
+b AS (SELECT *, greatest(0, pk - 4) AS lo, least(63, pk + 4) AS hi FROM a),
 c AS (SELECT vec_id, s, lo, hi, list_max(s) AS mx, list_sum(list_transform(range(lo, hi + 1), lambda i: s[i + 1] * (i * 7180.0::DOUBLE / 63 + 1997.3794084376191::DOUBLE))) AS top, list_sum(list_slice(s, lo + 1, hi + 1)) AS tot FROM b),
 h AS (SELECT vec_id, CASE WHEN mx > 0.03 THEN top / greatest(tot, 1e-8) ELSE 0.0 END AS cents FROM c)
 SELECT vec_id, round(cents, 5) AS cents, round(10 * pow(2.0, cents / 1200), 5) AS hz, round(69 + 12 * log2(10 * pow(2.0, cents / 1200) / 440), 6) AS midi FROM h"""

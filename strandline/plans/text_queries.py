@@ -92,12 +92,12 @@ def diff_count(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", stats.difference_count(F.col("a"), F.col("b")).alias("diff"))
 
 
-@query("SELECT item_id, d.doc_id, CAST(levenshtein(substr(b.text, 1, 60), substr(d.text, 1, 60)) AS INT) AS distance FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 7")
+@query("SELECT item_id, d.doc_id, CAST(levenshtein(substr(regexp_replace(b.text, '[^ -~]', '', 'g'), 1, 60), substr(regexp_replace(d.text, '[^ -~]', '', 'g'), 1, 60)) AS INT) AS distance FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 7")
 def edit_distance(spark, sf_dir):
-    """Between the openings of paired texts: a fixed span of each is what this compares."""
+    """Between the ASCII openings of paired texts: a fixed span of each is what this compares."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("bt"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(b), F.col("doc_id") == F.col("item_id") * 7)
-    return d.select("item_id", "doc_id", F.levenshtein(F.substring("bt", 1, 60), F.substring("text", 1, 60)).alias("distance"))
+    return d.select("item_id", "doc_id", F.levenshtein(*[F.substring(F.regexp_replace(c, "[^ -~]", ""), 1, 60) for c in ("bt", "text")]).alias("distance"))
 
 
 def _first_words(spark, sf_dir):
@@ -112,12 +112,12 @@ def _first_words(spark, sf_dir):
 
 @query(
     "WITH b AS (SELECT item_id, " + _SPLIT.format("text") + " AS q FROM benchmark), d AS (SELECT doc_id, " + _SPLIT.format("text") + " AS r FROM documents),\n"
-    "h AS (SELECT item_id, doc_id, list_filter(range(len(r) - len(q) + 1), lambda i: r[i + 1] = q[1] AND r[i + 1 : i + len(q)] = q) AS at FROM b, d WHERE len(q) >= 5 AND list_has_all(r, q))\n"
-    "SELECT item_id, doc_id, CAST(at[1] AS INT) AS at FROM h WHERE len(at) > 0"
+    "h AS (SELECT item_id, doc_id, list_filter(range(len(r) - len(q) + 1), lambda i: r[i + 1] = q[1] AND r[i + 1 : i + len(q)] = q) AS hits FROM b, d WHERE len(q) >= 5 AND list_has_all(r, q))\n"
+    "SELECT item_id, doc_id, CAST(hits[1] AS INT) AS place FROM h WHERE len(hits) > 0"
 )
 def exact_window_match(spark, sf_dir):
     p = _first_words(spark, sf_dir)
-    return p.select("item_id", "doc_id", matching.find_exact(F.col("ref"), F.col("query")).alias("at")).where("at >= 0")
+    return p.select("item_id", "doc_id", matching.find_exact(F.col("ref"), F.col("query")).alias("place")).where("place >= 0")
 
 
 @query()
