@@ -2,7 +2,7 @@
 
 A document is a bag of passages: consecutive runs of ``PASSAGE`` characters. A
 passage's input is the square root of its hashed character-trigram counts, scaled
-to length 1. One layer encodes it: h = tanh(x E + e). Gated attention weighs
+to length 1 if it is not short, and two numbers on how much it repeats itself. One layer encodes it: h = tanh(x E + e). Gated attention weighs
 passages: a = softmax over the bag of w . (tanh(h V) * sigmoid(h U)), and the
 score of the document is the logistic of c . sum(a h) + d. All weights are
 learned together from document labels, by Adam on a bounded sample
@@ -32,6 +32,8 @@ from strandline.runtime import ship, table
 
 PASSAGE = 512
 BITS = 10
+#: Trigrams from which on a passage counts as full.
+FULL = 300
 HIDDEN, GATE = 24, 12
 PER_CLASS = 1_500
 EPOCHS, BAGS = 12, 32
@@ -68,8 +70,12 @@ def _runs(n: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def inputs(counts: np.ndarray) -> np.ndarray:
-    x = np.sqrt(counts.astype(np.float32))
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-6)
+    """Length 1 for full passages; short ones are shorter vectors, as they say less. Two columns tell how much a passage repeats itself."""
+    x = counts.astype(np.float32)
+    full = np.maximum(x.sum(1, keepdims=True), FULL)
+    repeats = np.maximum(x - 2, 0).sum(1, keepdims=True) / full
+    focus = np.sqrt((x * x).sum(1, keepdims=True)) / full
+    return np.concatenate([np.sqrt(x / full), repeats, focus], axis=1)
 
 
 class Model:
@@ -83,8 +89,8 @@ class Model:
     @classmethod
     def fresh(cls, seed: int = 7) -> Model:
         r = np.random.default_rng(seed)
-        shapes = {"E": (1 << BITS, HIDDEN), "e": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,), "d": (1,)}
-        spread = {"E": 1.0, "V": 0.3, "U": 0.3, "w": 0.3, "c": 0.3}
+        shapes = {"E": ((1 << BITS) + 2, HIDDEN), "e": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,), "d": (1,)}
+        spread = {"E": 0.05, "V": 0.3, "U": 0.3, "w": 0.3, "c": 0.3}  # what training does not touch says next to nothing
         return cls({k: (r.normal(0, spread[k], s) if k in spread else np.zeros(s)).astype(np.float32) for k, s in shapes.items()})
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
