@@ -76,6 +76,49 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Places:
+    """Numbers 64-bit keys in the order they come: an open-addressing table of two arrays."""
+
+    def __init__(self, size: int):
+        self._keys, self._at, self._n = np.zeros(size, np.uint64), np.full(size, -1, np.int32), 0
+
+    def __len__(self) -> int:
+        return self._n
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for unknown ones."""
+        mask = np.uint64(len(self._keys) - 1)
+        out, rest, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), keys & mask
+        while len(rest):
+            at = self._at[slot]
+            hit = (at >= 0) & (self._keys[slot] == keys[rest])
+            out[rest[hit]] = at[hit]
+            on = (at >= 0) & ~hit
+            rest, slot = rest[on], (slot[on] + np.uint64(1)) & mask
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct keys that are not in yet."""
+        if 2 * (self._n + len(keys)) > len(self._keys):
+            old = np.flatnonzero(self._at >= 0)
+            old = self._keys[old][np.argsort(self._at[old])]
+            size = len(self._keys)
+            while size < 3 * (self._n + len(keys)):
+                size *= 2
+            self._keys, self._at, self._n = np.zeros(size, np.uint64), np.full(size, -1, np.int32), 0
+            self.add(old)
+        mask, number = np.uint64(len(self._keys) - 1), np.arange(self._n, self._n + len(keys), dtype=np.int32)
+        self._n += len(keys)
+        rest, slot = np.arange(len(keys)), keys & mask
+        while len(rest):
+            free = np.flatnonzero(self._at[slot] < 0)
+            put = free[np.unique(slot[free], return_index=True)[1]]  # one for each free slot
+            self._keys[slot[put]], self._at[slot[put]] = keys[rest[put]], number[rest[put]]
+            on = np.ones(len(rest), bool)
+            on[put] = False
+            rest, slot = rest[on], (slot[on] + np.uint64(1)) & mask
+
+
 class WordTokens:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -93,13 +136,13 @@ class WordTokens:
         return _made[path]
 
     def _forget(self) -> None:
-        self._entry: dict[int, int] = {}
-        self._first, self._size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._entry = _Places(1 << 16)
+        self._first, self._size = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self._ids, self._used = np.zeros(4096, np.uint32), 0
 
-    def _learn(self, hashes: list[int], parts: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
         got = [np.array(e.ids, np.uint32) for lo in range(0, len(parts), 20_000) for e in self._tok.encode_batch_fast(parts[lo : lo + 20_000], add_special_tokens=False)]
-        size = np.array([len(g) for g in got], np.int64)
+        size = np.array([len(g) for g in got], np.int32)
         n, m = len(self._entry), int(size.sum())
         while len(self._first) < n + len(got):
             self._first, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._first, self._size))
@@ -107,8 +150,8 @@ class WordTokens:
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
         self._ids[self._used : self._used + m] = np.concatenate(got)
         self._size[n : n + len(got)] = size
-        self._first[n : n + len(got)] = self._used + np.cumsum(size) - size
-        self._entry.update(zip(hashes, range(n, n + len(got)), strict=True))
+        self._first[n : n + len(got)] = self._used + np.cumsum(size, dtype=np.int64) - size
+        self._entry.add(hashes)
         self._used += m
 
     def _block(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,17 +163,15 @@ class WordTokens:
         cuts = parts_at(data, ends)
         h = poly_hashes(data, cuts[:-1], cuts[1:])
         distinct, sample, which = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        entry = list(map(self._entry.get, keys))
-        new = [i for i, e in enumerate(entry) if e is None]
-        if new:
+        entry = self._entry.of(distinct)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
             raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[cuts[s] : cuts[s + 1]].decode() for s in sample[new].tolist()])
-            for i in new:
-                entry[i] = self._entry[keys[i]]
-        entry = np.array(entry, np.int64)[which]
+            self._learn(distinct[new], [raw[cuts[k] : cuts[k + 1]].decode() for k in sample[new].tolist()])
+            entry[new] = np.arange(len(self._entry) - len(new), len(self._entry))
+        entry = entry[which]
         size = self._size[entry]
-        last = np.cumsum(size)
+        last = np.cumsum(size, dtype=np.int64)
         ids = self._ids[np.repeat(self._first[entry] - (last - size), size) + np.arange(last[-1])]
         return ids, np.concatenate([[0], last])[np.searchsorted(cuts, ends)]
 
