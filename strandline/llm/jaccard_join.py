@@ -24,12 +24,15 @@ Equal sets are one class from the start, named by a fingerprint whose low bits t
 the size to one per cent. Copies thus cost one signature set per task and are never
 expanded. Signatures travel in arrays, many to a row, dealt by hash ranges to
 buckets. A bucket orders the classes under a signature by size and emits the pairs
-of neighbours that may be similar by size, and the list. Pairs are verified in two
-steps: on the quarter of the universe with the smallest hashes, where a pair that
-already differs too much ends, then on whole sets. Components are formed; then, for
-lists whose classes are still in different components, the pairs between
-components are verified too. Pairs inside one component need no check for the
-components to be exact, and no pairs of one large group are spelled out.
+of neighbours that may be similar by size, and the list. Each list also has a hub,
+the class that shares most signatures with others (the text that near copies stem
+from), which is paired with the rest. These pairs are verified in two steps: on the
+quarter of the universe with the smallest hashes, where a pair that already differs
+too much ends, then on whole sets. Components are formed. What lists still hold
+apart is compared in clusters, all such lists of a hub together: each set travels
+once for its cluster, not once for each pair, and a block of sets is compared by one
+product of matrices; only links leave the cluster. Pairs inside one component need
+no check for the components to be exact.
 
 Defined cases: A-Z are lower-cased; null and empty text has no shingles and links
 with nothing; repeated rows are copies of each other; null doc_ids join components
@@ -45,7 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
@@ -60,6 +63,8 @@ SMALL = 64
 SAMPLE, COMMON, TOLD = 10_000, 6, 1_000_000
 #: Signatures that a task gathers before it sends them, and buckets for each shuffle partition.
 FLUSH, BUCKETS_EACH = 1_000_000, 8
+#: Sets of a cluster that are compared at a time.
+BLOCK = 768
 #: Ids of documents to compare that may be sent to every executor.
 IDS = 1_000_000
 
@@ -146,6 +151,7 @@ def size_reach(num: int, den: int) -> int:
     return math.ceil(math.log(den / num) / math.log(1.01)) + 1
 
 
+QUARTER, WHOLE = 1 << 62, 1 << 64
 STAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 STAGE_SQL = "bucket int, kind int, a binary, b binary, c binary"
 
@@ -283,16 +289,15 @@ def _free(spark: SparkSession) -> None:
 
 def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b: distinct, durable) whose sets are similar. ``reps``: fp and doc_id of one document of each class."""
-    some = _compare(docs, reps, pairs, width, num, den, 1 << 64 - 2)
+    some = _compare(docs, reps, pairs, width, num, den, QUARTER)
     _free(docs.sparkSession)
-    out = _compare(docs, reps, some, width, num, den, 1 << 64)
+    out = _compare(docs, reps, some, width, num, den, WHOLE)
     _free(docs.sparkSession)
     return out
 
 
-def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num: int, den: int, below: int) -> DataFrame:
-    """Pairs that differ in no more shingles than similar sets may, counting hashes under ``below`` alone."""
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int, below: int) -> DataFrame:
+    """fp, n, u (hashes under ``below``) of the wanted classes; a class comes more than once only where rows repeat a doc_id or have none."""
     ids = durable(reps.join(wanted, "fp", "left_semi").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct())
     few = ids.limit(IDS + 1).count() <= IDS
     some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -303,11 +308,16 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num
         for b in batches:
             for some in shingle_sets(b.column(1), width):
                 some = [u for u in some if len(u)]
-                cut = [u if below == 1 << 64 else u[: np.searchsorted(u, np.uint64(below))] for u in some]
+                cut = [u if below == WHOLE else u[: np.searchsorted(u, np.uint64(below))] for u in some]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(u) for u in some], pa.int64()), pa.array([len(u) for u in some], pa.int64()), pa.array([u.tobytes() for u in cut], pa.binary())], ["fp", "n", "u"])
 
-    # a class comes more than once only where rows repeat a doc_id or have none
-    found = known.unionByName(some.where("doc_id is null")).mapInArrow(sets, "fp bigint, n bigint, u binary")
+    return known.unionByName(some.where("doc_id is null")).mapInArrow(sets, "fp bigint, n bigint, u binary")
+
+
+def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num: int, den: int, below: int) -> DataFrame:
+    """Pairs that differ in no more shingles than similar sets may, counting hashes under ``below`` alone."""
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    found = _sets(docs, reps, wanted, width, below)
     side = lambda k: found.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("u").alias(f"u{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ua", "ub")
 
@@ -327,35 +337,88 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num
     return durable(both.mapInArrow(check, "a bigint, b bigint").distinct())
 
 
-def cross_pairs(lists: DataFrame, comp: DataFrame, reach: int) -> DataFrame:
-    """Pairs of classes that share a list but no component yet. Lists within one component end here."""
-    members = lists.select("a", F.explode("nodes").alias("node"))
-    members = members.join(comp.withColumnRenamed("component", "c"), "node", "left").select("a", "node", F.coalesce("c", "node").alias("c"))
-    sizes = members.groupBy("a", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("a").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("k")).where("k > 1").select("a", "main")
-    members = members.join(main, "a")
-    # those outside the list's largest component, with all of the list: no pair within a component arises
-    x = members.where("c != main").select("a", F.col("node").alias("x"), F.col("c").alias("cx"))
-    y = members.select("a", F.col("node").alias("y"), F.col("c").alias("cy"), "main")
+def with_hubs(lists: DataFrame) -> DataFrame:
+    """``lists`` (a, n, node) with hub: the class of the list that is in most and largest lists."""
+    weights = lists.groupBy("node").agg(F.sum("n").alias("w"))
+    top = lists.join(weights, "node").groupBy("a").agg(F.max(F.struct("w", "node"))["node"].alias("hub"))
+    return lists.join(top, "a").select("hub", "node", "a")
+
+
+def hub_pairs(under: DataFrame, reach: int) -> DataFrame:
+    """Pairs of each hub with the classes of its lists that may be similar by size."""
     size = lambda c: F.col(c).bitwiseAND(F.lit((1 << SIZE_BITS) - 1).cast("bigint"))
-    met = x.join(y, "a").where("cx != cy and (cy = main or x < y)").where(F.abs(size("x") - size("y")) <= reach)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = under.where((F.col("node") != F.col("hub")) & (F.abs(size("node") - size("hub")) <= reach))
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def cluster_links(docs: DataFrame, reps: DataFrame, under: DataFrame, comp: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links between classes under one hub (hub, node) that are not in one component."""
+    parts = shuffle_partitions(docs.sparkSession)
+    under = durable(under.join(comp.withColumnRenamed("component", "c"), "node", "left").select("hub", "node", F.coalesce("c", "node").alias("c")))
+    sizes = under.groupBy("hub").agg(F.count("*").alias("k"), F.min("c").alias("lo_c"), F.max("c").alias("hi_c")).where("lo_c < hi_c")
+    d = under.join(sizes.select("hub", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "hub")
+    d = d.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("hub", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "c")
+    found = _sets(docs, reps, d.select(F.col("node").alias("fp")).distinct(), width, WHOLE)
+    d = d.join(found.withColumnRenamed("fp", "node"), "node").repartition(parts, "hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "node")
+    return d.select("hub", "lo", "hi", "side", "node", "c", "n", "u").mapInArrow(lambda b: _clusters(b, num, den), "a bigint, b bigint").distinct()
+
+
+def _clusters(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    key, rows = None, {}
+
+    def close():
+        side, node, c, n, u = (list(x) for x in zip(*rows.values(), strict=True))
+        if len(set(c)) < 2:
+            return
+        side, node, c, n, size = np.array(side), np.array(node), np.array(c), np.array(n), np.array([len(x) for x in u])
+        _, col, times = np.unique(np.concatenate(u), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(u)), size)
+        name = np.cumsum(times > 1) - 1  # a column for each shingle that two sets have
+        shared = times[col] > 1
+        row, col, width = row[shared], name[col[shared]], int((times > 1).sum())
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        common = np.zeros((len(u), len(u)), np.float32)  # counts stay whole numbers below 2**24
+        for lo in range(0, width, 2048):
+            a, z = np.searchsorted(col, [lo, lo + 2048])
+            m = np.zeros((len(u), min(2048, width - lo)), np.float32)
+            m[row[a:z], col[a:z] - lo] = 1
+            common += m @ m.T
+        apart = size[:, None] + size[None, :] - 2 * common
+        ok = np.triu(apart * (den + num) <= (den - num) * (n[:, None] + n[None, :]), 1) & (c[:, None] != c[None, :])
+        ok &= np.minimum(n[:, None], n[None, :]) * den >= np.maximum(n[:, None], n[None, :]) * num
+        if key[1] != key[2]:
+            ok &= side[:, None] != side[None, :]
+        i, j = np.nonzero(ok)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+    for b in batches:
+        for hub, lo, hi, side, node, c, n, u in zip(*(b.column(k).to_pylist() for k in range(7)), b.column(7), strict=True):
+            if (hub, lo, hi) != key:
+                if len(rows) > 1:
+                    yield from close()
+                key, rows = (hub, lo, hi), {}
+            rows[node] = (side, node, c, n, np.frombuffer(u.as_buffer(), np.uint64))  # a class once, however often its row comes
+    if len(rows) > 1:
+        yield from close()
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, fp, n_shingles, component_id for every row of ``docs``."""
     met = candidates(docs, width, Bands(num, den))
     classes = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), F.col("n").alias("n_shingles"))
-    pairs = durable(met.where("kind = 1").select("a", "b").distinct())
     reps = durable(classes.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+    under = with_hubs(_unpack_lists(met.where("kind = 2").select("a", "list").dropDuplicates(["a"])))
+    under = durable(under.select("hub", "node").distinct())
+    pairs = durable(met.where("kind = 1").select("a", "b").unionByName(hub_pairs(under, size_reach(num, den))).distinct())
     _free(docs.sparkSession)
     links = verify(docs, reps, pairs, width, num, den)
     comp = components(links, "a", "b")
-    to_nodes = _unpack_lists(met.where("kind = 2").select("a", "list").dropDuplicates(["a"]))
-    more = durable(cross_pairs(to_nodes, comp, size_reach(num, den)).join(pairs, ["a", "b"], "left_anti"))
+    more = durable(cluster_links(docs, reps, under, comp, width, num, den))
+    _free(docs.sparkSession)
     if more.limit(1).count():
-        links = links.unionByName(verify(docs, reps, more, width, num, den))
-        comp = components(links, "a", "b")
+        comp = components(links.unionByName(more), "a", "b")
     # the smallest doc_id of each class, then of each component
     least = reps.withColumnRenamed("doc_id", "least")
     groups = comp.select(F.col("node").alias("fp"), "component").join(least, "fp")
@@ -366,11 +429,13 @@ def similar_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
 
 
 def _unpack_lists(lists: DataFrame) -> DataFrame:
+    """a (list), n (its classes), node: a row for each class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)], pa.list_(pa.int64()))], ["a", "nodes"])
 
-    return lists.mapInArrow(run, "a bigint, nodes array<bigint>")
+    return lists.mapInArrow(run, "a bigint, nodes array<bigint>").select("a", F.size("nodes").cast("bigint").alias("n"), F.explode("nodes").alias("node"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
