@@ -180,7 +180,7 @@ def grid_candidates(spark, sf_dir):
     + """, x AS (SELECT track_id, note_idx, raw_start, raw_end - raw_start AS d FROM tk)
 SELECT track_id, note_idx, CASE WHEN raw_start % 480 = 0 THEN 0.0 WHEN raw_start % 240 = 0 THEN 0.04 * 120 WHEN raw_start % 120 = 0 THEN 0.1 * 120 ELSE 0.42 * 120 END::DOUBLE AS metrical,
  (CASE WHEN greatest(1, round_even(d / 120.0, 0)) IN (1,2,4,8,16,32) THEN 0.0 WHEN greatest(1, round_even(d / 120.0, 0)) IN (3,6,12,24) THEN 0.05 * 120 ELSE 0.16 * 120 END)::DOUBLE AS note_value,
- CAST(CASE WHEN d <= 45 THEN NULL WHEN d / 120.0 <= 1.5 THEN 120 WHEN d / 120.0 <= 2.625 THEN 240 WHEN d / 120.0 <= 3.375 THEN 360 WHEN d / 120.0 <= 4.625 THEN 480 WHEN d / 120.0 <= 5.625 THEN 600 WHEN d / 120.0 <= 7.0 THEN 720 ELSE greatest(120, round_even(d / 120.0, 0) * 120) END AS BIGINT) AS preferred,
+ CAST(CASE WHEN d <= 45 THEN NULL WHEN d / 120.0 <= 1.5 THEN 120 WHEN d / 120.0 <= 2.625 THEN 240 WHEN d / 120.0 <= 3.375 THEN 360 WHEN d / 120.0 <= 4.625 THEN 480 WHEN d / 120.0 <= 5.625 THEN 600 WHEN d / 120.0 <= 7.0 THEN 720 ELSE greatest(120, round_even(d / 120.0, 0) * 120) END  AS BIGINT) AS preferred,
  CAST(least(raw_start % 120, 120 - raw_start % 120) AS BIGINT) AS off_grid FROM x"""
 )
 def metrical_penalty(spark, sf_dir):
@@ -380,10 +380,10 @@ def fallback_anti_join(spark, sf_dir):
     return n.join(ok, "track_id", "left_semi").withColumn("path", F.lit("aligned")).unionByName(rest)
 
 
-@query("SELECT d.doc_id, d.source, l.quality, l.toxic, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT d.doc_id, d.source, CAST(coalesce(l.quality, -1) AS INT) AS quality, CAST(coalesce(l.toxic, -1) AS INT) AS toxic, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l USING (doc_id)")
 def stem_join(spark, sf_dir):
     d, lab = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").withColumn("labelled", F.lit(True))
-    return d.join(lab, "doc_id", "left").select("doc_id", "source", "quality", "toxic", F.coalesce("labelled", F.lit(False)).alias("labelled"))
+    return d.join(lab, "doc_id", "left").select("doc_id", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), F.coalesce("labelled", F.lit(False)).alias("labelled"))
 
 
 @query("SELECT source, count(*) AS missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source")
