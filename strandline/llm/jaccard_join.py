@@ -17,14 +17,13 @@ band the universe of shingle hashes is divided into segments:
   one-deletion neighbourhood. Of a pair of which one has enough segments above,
   that one's stretch is the shorter, so this serves pairs of two such sets only.
 
-Common shingles are estimated on a bounded sample of documents (``SAMPLE``); the
-estimate steers cost only, never what is found: any choice gives all links.
+Common shingles are estimated on every eighth document (``SHARE``); the estimate
+steers cost only, never what is found: any choice gives all links.
 
 Equal sets are one class from the start, named by a fingerprint whose low bits tell
 the size to one per cent. Copies thus cost one signature set per task and are never
 expanded. Signatures travel in arrays, many to a row, dealt by hash ranges to
-buckets. A bucket orders the classes under a signature by size and emits the pairs
-of neighbours that may be similar by size, and the list. Each list also has a hub,
+buckets. A bucket emits the lists of classes under one signature. Each list has a hub,
 the class that shares most signatures with others (the text that near copies stem
 from), which is paired with the rest. These pairs are verified in two steps: on the
 quarter of the universe with the smallest hashes, where a pair that already differs
@@ -59,8 +58,8 @@ WIDTH = 5
 NUM, DEN = 80, 100
 #: Up to this size, bands grow by the similarity and sign one-deletion neighbourhoods; above, they double.
 SMALL = 64
-#: Documents in the sample that tells common shingles, how many of them make one common, and how many are told.
-SAMPLE, COMMON, TOLD = 10_000, 6, 1_000_000
+#: One of so many documents tells common shingles; how many of these make one common, and how many are told.
+SHARE, COMMON, TOLD = 8, 4, 1_000_000
 #: Signatures that a task gathers before it sends them, and buckets for each shuffle partition.
 FLUSH, BUCKETS_EACH = 1_000_000, 8
 #: Sets of a cluster that are compared at a time.
@@ -200,8 +199,8 @@ MET_SQL = "kind int, a bigint, b bigint, n bigint, list binary"
 
 
 def _meet(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: doc_id, fingerprint, set size; 1: pair of classes that may be similar; 2: list hash and the classes under one signature."""
-    bucket, sigs, nodes = None, [], []
+    """Kind 0: doc_id, fingerprint, set size; 1: two classes alone under a signature that may be similar; 2: list hash and the classes under one signature."""
+    bucket, sigs, nodes, low = None, [], [], (1 << SIZE_BITS) - 1
 
     def out(kind, a, b, n, lists=None):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), a, pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(lists if lists is not None else [None] * len(b), pa.binary())], schema=MET)
@@ -215,16 +214,15 @@ def _meet(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBa
         s, n = s[shared], n[shared]
         if not len(s):
             return
-        sized = n & ((1 << SIZE_BITS) - 1)
-        order = np.lexsort((n, sized, s))
-        s, n, sized = s[order], n[order], sized[order]
+        order = np.lexsort((n, s))
+        s, n = s[order], n[order]
         fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])])
-        s, n, sized = s[fresh], n[fresh], sized[fresh]
+        s, n = s[fresh], n[fresh]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         size = np.diff(np.append(first, len(s)))
-        near = (s[1:] == s[:-1]) & (sized[1:] - sized[:-1] <= reach)
-        pairs = np.stack([n[:-1], n[1:]], axis=1)[near]
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        two = first[size == 2]
+        two = two[np.abs((n[two] & low) - (n[two + 1] & low)) <= reach]
+        pairs = np.unique(np.stack([n[two], n[two + 1]], axis=1), axis=0)
         if len(pairs):
             yield out(1, pa.array(pairs[:, 0]), pairs[:, 1], np.zeros(len(pairs), np.int64))
         lists, told = [], set()
@@ -253,12 +251,9 @@ def _meet(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBa
         yield from close()
 
 
-def common_shingles(docs: DataFrame, width: int, sample: int = SAMPLE, common: int = COMMON) -> np.ndarray:
-    """Sorted hashes of shingles that are common in a sample of about ``sample`` documents; a guide to cost only."""
-    total = docs.count()
-    some = docs.select("doc_id", "text")
-    if total > sample:
-        some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * sample / total) + 1))
+def common_shingles(docs: DataFrame, width: int, share: int = SHARE, common: int = COMMON) -> np.ndarray:
+    """Sorted hashes of shingles that are common in one of ``share`` documents; a guide to cost only."""
+    some = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,8 +2,8 @@
 
 A text's features are the distinct hashed n-grams (3 to 6 characters, lower case,
 a space at either end). Each has a ratio r = log of its smoothed share among
-toxic documents over that among others; features that are rare or whose ratio
-says little are left out. Logistic regression is fitted on presence times r.
+toxic documents over that among others; features that are rare, or whose ratio
+is small or within chance, are left out. Logistic regression is fitted on presence times r.
 The score is the logistic of the sum of weights, with the intercept moved from
 the balanced sample to the class shares of all rows that may be learned from.
 
@@ -33,8 +33,8 @@ from strandline.runtime import durable, ship, table
 BITS = 20
 SIZES = (3, 4, 5, 6)
 PER_CLASS = 2_000
-#: Documents that must have a feature, and the least |r|.
-MIN_DOCS, MIN_RATIO = 6, 1.0
+#: Documents that must have a feature, the least |r|, and the least |r| in standard errors.
+MIN_DOCS, MIN_RATIO, MIN_SURE = 3, 1.0, 3.0
 PENALTY = 1e-3
 MOD, HELD = 3, 1
 THRESHOLD = 0.7
@@ -98,7 +98,8 @@ def log_count_ratios(feats: np.ndarray, n0: np.ndarray, n1: np.ndarray, total0:
     size = 1 << BITS
     ratio = np.log((n1 + 1) / (total1 + size)) - np.log((n0 + 1) / (total0 + size))
     ratio = ratio - np.median(ratio) if len(ratio) else ratio
-    used = np.abs(ratio) >= MIN_RATIO
+    error = np.sqrt(1 / (n0 + 1) + 1 / (n1 + 1))
+    used = (np.abs(ratio) >= MIN_RATIO) & (np.abs(ratio) >= MIN_SURE * error)
     return feats[used], ratio[used]
 
 
