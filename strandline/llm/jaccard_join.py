@@ -171,7 +171,7 @@ def _emit(batches: Iterator[pa.RecordBatch], width: int, bands: Bands, common: n
     turn = 0
     for batch in batches:
         ids = batch.column(0)
-        known = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
         ids = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
         at = 0
         for sets in shingle_sets(batch.column(1), width):

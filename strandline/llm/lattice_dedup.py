@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def _ask(batches: Iterator[pa.RecordBatch], tables: int, probes: int, cell: floa
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         lists = b.column(1)
-        dims = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+        dims = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         for d in np.unique(dims):
             at = np.flatnonzero(dims == d)
             raw = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
