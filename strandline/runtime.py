@@ -77,3 +77,21 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     r = small.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in small.columns])
     cond = [salted[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
     return salted.join(r, cond, how).drop(*[f"_r_{k}" for k in keys], "_salt")
+
+
+def tidy(rows):
+    """``rows`` of a Python task; at its end the worker gives freed memory back to the system, as it lives on for other tasks."""
+    try:
+        yield from rows
+    finally:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
