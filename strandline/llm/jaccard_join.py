@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.components import components
 from strandline.llm.shingles import mix, shingle_sets
-from strandline.runtime import durable, ship, shuffle_partitions, table
+from strandline.runtime import durable, ship, shuffle_partitions, table, tidy
 
 WIDTH = 5
 NUM, DEN = 80, 100
@@ -272,8 +272,8 @@ def candidates(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     parts = shuffle_partitions(spark)
     sent = spark.sparkContext.broadcast(common_shingles(docs, width))  # at most TOLD numbers
     n, reach = parts * BUCKETS_EACH, size_reach(bands.num, bands.den)
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda b: _emit(b, width, bands, sent.value, n), STAGE_SQL)
-    return durable(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: _meet(b, reach), MET_SQL))
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda b: tidy(_emit(b, width, bands, sent.value, n)), STAGE_SQL)
+    return durable(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: tidy(_meet(b, reach)), MET_SQL))
 
 
 def _free(spark: SparkSession) -> None:
@@ -306,7 +306,7 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int, below
                 cut = [u if below == WHOLE else u[: np.searchsorted(u, np.uint64(below))] for u in some]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(u) for u in some], pa.int64()), pa.array([len(u) for u in some], pa.int64()), pa.array([u.tobytes() for u in cut], pa.binary())], ["fp", "n", "u"])
 
-    return known.unionByName(some.where("doc_id is null")).mapInArrow(sets, "fp bigint, n bigint, u binary")
+    return known.unionByName(some.where("doc_id is null")).mapInArrow(lambda b: tidy(sets(b)), "fp bigint, n bigint, u binary")
 
 
 def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num: int, den: int, below: int) -> DataFrame:
@@ -329,7 +329,7 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num
                 ok.append(min(m, n) * den >= max(m, n) * num and apart * (den + num) <= (den - num) * (m + n))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return durable(both.mapInArrow(check, "a bigint, b bigint").distinct())
+    return durable(both.mapInArrow(lambda b: tidy(check(b)), "a bigint, b bigint").distinct())
 
 
 def with_hubs(lists: DataFrame) -> DataFrame:
@@ -356,7 +356,7 @@ def cluster_links(docs: DataFrame, reps: DataFrame, under: DataFrame, comp: Data
     d = d.select("hub", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "c")
     found = _sets(docs, reps, d.select(F.col("node").alias("fp")).distinct(), width, WHOLE)
     d = d.join(found.withColumnRenamed("fp", "node"), "node").repartition(parts, "hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "node")
-    return d.select("hub", "lo", "hi", "side", "node", "c", "n", "u").mapInArrow(lambda b: _clusters(b, num, den), "a bigint, b bigint").distinct()
+    return d.select("hub", "lo", "hi", "side", "node", "c", "n", "u").mapInArrow(lambda b: tidy(_clusters(b, num, den)), "a bigint, b bigint").distinct()
 
 
 def _clusters(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:

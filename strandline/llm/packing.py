@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm.tokens import WordTokens, default_path
-from strandline.runtime import durable, ship, table
+from strandline.runtime import durable, ship, table, tidy
 
 CAPACITY = 1024
 END_ID = 2
@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     path = tokenizer or default_path()
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _cut(batches, path, capacity, end_id, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: tidy(_cut(batches, path, capacity, end_id, with_ids)), schema)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:

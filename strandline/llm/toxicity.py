@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.chars import blocks, gram_hashes, labelled_sample, sigmoid
 from strandline.llm.words import crc_remainder
-from strandline.runtime import durable, ship, table
+from strandline.runtime import durable, ship, table, tidy
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     ship(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, "toxic", MOD, HELD, per_class)
     sample = durable(sample)  # at most 2 * per_class rows
-    n = sample.mapInArrow(_counts, "feat bigint, n0 bigint, n1 bigint").groupBy("feat").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    n = sample.mapInArrow(lambda b: tidy(_counts(b)), "feat bigint, n0 bigint, n1 bigint").groupBy("feat").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     n = durable(n)
     total = n.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("t0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("t1")).first()
     common = n.where(F.col("n0") + F.col("n1") >= MIN_DOCS).orderBy("feat").toArrow()  # at most 2**BITS rows
@@ -178,7 +178,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
         for b in batches:
             yield b.filter(pa.array(scores(b.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: tidy(run(b)), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
