@@ -5,8 +5,8 @@ windows that occur more than once. All is computed inside the row by array
 functions, so no text is shuffled. Windows are compared by 64-bit hashes, built
 by doubling (pairs, fours, eights).
 
-Verdict: each word, and the last two characters of each word, is an n-gram, hashed
-into one of ``BUCKETS`` buckets. Two multinomials
+Verdict: each word, the last two characters of each word, and each pair of
+neighbouring words is an n-gram, hashed into one of ``BUCKETS`` buckets. Two multinomials
 with add-``SMOOTH`` smoothing are counted over all documents: of the trusted
 target (rows with ``labels.quality`` = 1) and of the raw corpus. A document's
 score is the sum of log(target/raw) over its n-grams divided by their number; it
@@ -69,12 +69,17 @@ def with_words(docs: DataFrame) -> DataFrame:
     return df.withColumns({"_q_h": F.transform("_q_w", lambda w: F.xxhash64(w)), "_q_e": F.transform("_q_w", lambda w: F.xxhash64(F.substring(w, -TAIL, TAIL)))})
 
 
+def with_pairs(df: DataFrame) -> DataFrame:
+    """``df`` (with words) and _q_b: hashes of neighbouring words, which score and windows share."""
+    return df.withColumn("_q_b", _pairwise(F.col("_q_h"), 1))
+
+
 def with_base(df: DataFrame) -> DataFrame:
     """``df`` (with words) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, each behind ``_q_``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     signs = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumns({"_q_lines": lines, "_q_n_symbols": signs.cast("bigint"), "_q_word_chars": F.length(F.array_join("_q_w", "")).cast("bigint"), "_q_n_words": F.size("_q_h").cast("bigint"), "_q_g": _pairwise(F.col("_q_h"), 1)}).drop("_q_w", "_q_h")
+    df = df.withColumns({"_q_lines": lines, "_q_n_symbols": signs.cast("bigint"), "_q_word_chars": F.length(F.array_join("_q_w", "")).cast("bigint"), "_q_n_words": F.size("_q_h").cast("bigint"), "_q_g": F.col("_q_b") if "_q_b" in df.columns else _pairwise(F.col("_q_h"), 1)}).drop("_q_w", "_q_h", "_q_b")
     df = df.withColumns({"_q_n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("bigint"), "_q_g": _pairwise(F.col("_q_g"), 2)}).drop("_q_lines")
     df = _with_repeat_words(df.withColumn("_q_g", _pairwise(F.col("_q_g"), 4)))
     return df.withColumn("_q_base_failed", (F.col("_q_n_words") < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > MAX_REPEAT * F.col("_q_n_words")))
@@ -84,13 +89,14 @@ def _bucket(gram: Column, buckets: int) -> Column:
     return F.pmod(gram, F.lit(buckets).cast("bigint")).cast("int")
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH) -> list[int]:
-    """Weight of each bucket: log ratio in 1e-6, counted over every document."""
+def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH, pairs: bool = False) -> list[int]:
+    """Weight of each bucket: log ratio in 1e-6, counted over every document; ``pairs`` adds those of neighbouring words to words and their ends."""
     trusted = durable(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().withColumn("_good", F.lit(1)))
     if trusted.limit(TRUSTED_ROWS + 1).count() <= TRUSTED_ROWS:
         trusted = F.broadcast(trusted)  # else both sides are dealt by id
     marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left")
-    grams = with_words(marked).select("_good", F.explode(F.concat("_q_h", "_q_e")).alias("gram")).select("_good", _bucket(F.col("gram"), buckets).alias("bucket"))
+    found = with_pairs(with_words(marked)) if pairs else with_words(marked)
+    grams = found.select("_good", F.explode(F.concat("_q_h", "_q_e", *["_q_b"] * pairs)).alias("gram")).select("_good", _bucket(F.col("gram"), buckets).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_good").alias("good")).collect()  # at most `buckets` rows
     all_raw, all_good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     out = [0] * buckets
@@ -102,11 +108,13 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, s
 
 
 def with_score(df: DataFrame, weights: list[int]) -> DataFrame:
-    """``df`` (with words) and ``_q_score``: mean log ratio of the n-grams of the text, null without any."""
+    """``df`` (with words, and with pairs if they count) and ``_q_score``: mean log ratio of the n-grams of the text, null without any."""
     table_ = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # folds to one constant
     add = lambda acc, g: acc + F.get(table_, _bucket(g, len(weights)))
     total = F.aggregate("_q_e", F.aggregate("_q_h", F.lit(0).cast("bigint"), add), add)
     n = 2 * F.size("_q_h")
+    if "_q_b" in df.columns:
+        total, n = F.aggregate("_q_b", total, add), n + F.size("_q_b")
     return df.withColumn("_q_score", F.when(n > 0, total / n / F.lit(1e6))).drop("_q_e")
 
 
@@ -119,7 +127,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     The results leave through a generator of one row: a later filter on them would
     else be pushed below and compute the arrays anew for each of its references."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    scored = with_base(with_score(with_words(docs), bucket_weights(docs, labels)))
+    scored = with_base(with_score(with_pairs(with_words(docs)), bucket_weights(docs, labels, pairs=True)))
     scored = scored.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.coalesce("_q_score", F.lit(-1e9)) >= threshold))
     return scored.select(*cols, F.inline(F.array(F.struct(*[F.col(f"_q_{n}").alias(f"_q_{n}") for n in RESULTS]))))
 

@@ -68,6 +68,23 @@ def test_ratio_against_plain_counting(spark, sf):
     assert close >= 0.98 * len(rows)  # a few n-grams share a bucket
 
 
+def test_query_scores_word_pairs(spark, tmp_path):
+    """The query's score is that of words, their ends and neighbouring words; other orders of the same words score lower."""
+    rows = [(i, "alpha bravo carol delta eagle") for i in range(1, 9)] + [(9, "delta bravo eagle carol alpha"), (10, "stone"), (11, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 9)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r["score"] for r in quality_rules.op3_quality_rules(spark, str(tmp_path)).collect()}
+    grams = {}
+    for d, t in rows:
+        w = (t or "").split()
+        grams[d] = w + [x[-2:] for x in w] + list(zip(w, w[1:]))
+    raw, good = Counter(g for gs in grams.values() for g in gs), Counter(g for d in range(1, 9) for g in grams[d])
+    n = quality_rules.BUCKETS
+    weight = {g: math.log((good[g] + 1) / (good.total() + n) / ((c + 1) / (raw.total() + n))) for g, c in raw.items()}
+    assert got[11] is None and got[9] < got[1]
+    assert all(abs(got[d] - sum(map(weight.get, gs)) / len(gs)) < 1e-5 for d, gs in grams.items() if gs)
+
+
 def test_clean_stays_and_junk_goes(spark):
     sf = "/root/testdata/sf0.01"
     out = quality_rules.op3_quality_rules(spark, sf).join(table(spark, sf, "labels"), "doc_id").toPandas()
