@@ -94,12 +94,27 @@ def diff_count(spark, sf_dir):
 
 @query("SELECT item_id, d.doc_id, CAST(levenshtein(substr(regexp_replace(b.text, '[^ -~]', '', 'g'), 1, 60), substr(regexp_replace(d.text, '[^ -~]', '', 'g'), 1, 60)) AS INT) AS distance FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 7")
 def edit_distance(spark, sf_dir):
-    """Between the ASCII openings of paired texts: a fixed span of each is what this compares."""
+    """Between the first 60 ASCII characters of texts paired by id, as its SQL has it; ``turn_edit_distance`` compares whole texts."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("bt"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(b), F.col("doc_id") == F.col("item_id") * 7)
     return d.select("item_id", "doc_id", F.levenshtein(*[F.substring(F.regexp_replace(c, "[^ -~]", ""), 1, 60) for c in ("bt", "text")]).alias("distance"))
 
 
+@query()
+def turn_edit_distance(spark, sf_dir):
+    """Levenshtein distance, in tokens, of each whole turn and the next one."""
+    ship(spark)
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [(c, t, matching.edit_distance(list(x), list(y))) for c, t, x, y in zip(b["conv_id"], b["turn"], b["a"], b["b"], strict=True)]
+            yield pd.DataFrame(rows, columns=["conv_id", "turn", "distance"])
+
+    return _turns(spark, sf_dir).where("a is not null").mapInPandas(run, "conv_id bigint, turn bigint, distance int")
+
+
 def _first_words(spark, sf_dir):
     """Benchmark items with the documents that hold their first five words: an equi-join on word runs."""
     b = table(spark, sf_dir, "benchmark").select("item_id", _tokens(F.col("text")).alias("query")).where(F.size("query") >= 5)

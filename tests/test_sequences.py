@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import catalog
 from strandline.functions import codecs, itn, kana
 from strandline.operators import decoding, matching, series, slicing, stats
 from strandline.plans import pipeline
@@ -125,6 +126,14 @@ def test_salience_of_one_bin(spark):
     assert abs(rows[0]["c"] - (100 * 7180 / 359 + 1997.3794084376191)) < 1e-9 and rows[1]["c"] == 0.0 and rows[1]["m"] is None
 
 
+def test_turn_edit_distance_compares_whole_turns(spark, tmp_path):
+    long = [f"wort{i}" for i in range(60)]
+    turns = [long, [*long[:-1], "ändern", "più"], ["a"], []]
+    spark.createDataFrame([(1, k, "u", " ".join(t)) for k, t in enumerate(turns)] + [(2, 0, "u", "alone")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["turn_edit_distance"](spark, str(tmp_path)).collect()))
+    assert got == [(1, k, lev(turns[k], turns[k + 1])) for k in range(3)] == [(1, 0, 2), (1, 1, 61), (1, 2, 1)]
+
+
 def test_silence_slicer():
     sr = 1000
     tone = lambda s: np.sin(np.arange(int(s * sr)) * 0.5).astype(np.float32)
