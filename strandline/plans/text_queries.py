@@ -115,8 +115,12 @@ def turn_edit_distance(spark, sf_dir):
     return _turns(spark, sf_dir).where("a is not null").mapInPandas(run, "conv_id bigint, turn bigint, distance int")
 
 
+#: Words in a row that make a document a candidate.
+RUN = 5
+
+
 def _first_words(spark, sf_dir):
-    """Benchmark items with the documents that hold their first five words: an equi-join on word runs."""
+    """Benchmark items of five words or more with the documents that hold their first five, as whole copies do: an equi-join on word runs."""
     b = table(spark, sf_dir, "benchmark").select("item_id", _tokens(F.col("text")).alias("query")).where(F.size("query") >= 5)
     b = b.withColumn("k", F.xxhash64(F.slice("query", 1, 5)))
     d = table(spark, sf_dir, "documents").select("doc_id", _tokens(F.col("text")).alias("ref"))
@@ -135,15 +139,39 @@ def exact_window_match(spark, sf_dir):
     return p.select("item_id", "doc_id", matching.find_exact(F.col("ref"), F.col("query")).alias("place")).where("place >= 0")
 
 
+def _runs(tokens, n):
+    """Hashes of the runs of ``n`` tokens."""
+    some = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.slice(tokens, i, n))))
+    return F.when(F.size(tokens) >= n, some).otherwise(F.array().cast("array<bigint>"))
+
+
+def _candidates(spark, sf_dir, how="inner"):
+    """Benchmark items with the documents that hold any five words in a row of theirs, all of them if they
+    are fewer: an equi-join on word runs. ``left`` keeps items without such a document, with no words to match."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", _tokens(F.coalesce("text", F.lit(""))).alias("query"))
+    d = table(spark, sf_dir, "documents").select("doc_id", _tokens(F.coalesce("text", F.lit(""))).alias("ref"))
+    n = F.least(F.size("query"), F.lit(RUN))
+    sizes = sorted(r["n"] for r in b.where(n > 0).select(n.alias("n")).distinct().collect()) or [RUN]  # at most RUN of them
+    own = F.coalesce(*[F.when(n == k, _runs("query", k)) for k in sizes])
+    k = F.concat(*[_runs("ref", k) for k in sizes])
+    hit = d.select("doc_id", F.explode(k).alias("k")).join(b.select("item_id", F.explode(own).alias("k")), "k").select("doc_id", "item_id").distinct()
+    return b.join(hit, "item_id", how).join(d, "doc_id", how).withColumn("ref", F.coalesce("ref", F.array().cast("array<string>")))
+
+
+def _window_match(candidates):
+    return matching.match_rows(candidates, "query", "ref", "ref", "item_id", "doc_id").select("item_id", "doc_id", "found", "exact", "start", "end", "distance", "reason")
+
+
 @query()
 def window_match(spark, sf_dir):
-    """The best stretch of a document for each benchmark item of which it holds five words in a row."""
-    return matching.match_rows(_first_words(spark, sf_dir), "query", "ref", "ref", "item_id", "doc_id").select("item_id", "doc_id", "found", "exact", "start", "end", "distance", "reason")
+    """The best stretch of a document for each benchmark item of which it holds five words in a row, or all of fewer."""
+    return _window_match(_candidates(spark, sf_dir))
 
 
 @query()
 def match_counters(spark, sf_dir):
-    return matching.match_counters(window_match(spark, sf_dir))
+    """Of ``window_match``, and of items that no document holds words of: these have no match."""
+    return matching.match_counters(_window_match(_candidates(spark, sf_dir, "left")))
 
 
 @query()

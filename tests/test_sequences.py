@@ -134,6 +134,18 @@ def test_turn_edit_distance_compares_whole_turns(spark, tmp_path):
     assert got == [(1, k, lev(turns[k], turns[k + 1])) for k in range(3)] == [(1, 0, 2), (1, 1, 61), (1, 2, 1)]
 
 
+def test_window_match_takes_any_run_of_an_item(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten".split()
+    docs = {1: ["x", *item[3:], "y"], 2: [*item[:2], "drei", *item[3:]], 3: ["so", "ho", "hum", "so"], 4: ["one", "two", "three", "four", "nothing"], 5: None}
+    spark.createDataFrame([(d, None if w is None else " ".join(w)) for d, w in docs.items()], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(10, " ".join(item)), (11, "ho hum"), (12, "never found in any of these"), (13, ""), (14, None)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["item_id"], r["doc_id"]): (r["found"], r["exact"], r["distance"]) for r in catalog.QUERIES["window_match"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {(10, 1), (10, 2), (11, 3)}
+    assert got[11, 3] == (True, True, 0) and got[10, 2] == (True, False, 1) and got[10, 1][0]
+    assert tuple(catalog.QUERIES["match_counters"](spark, str(tmp_path)).first()) == (6, 3, 0, 3)
+
+
 def test_silence_slicer():
     sr = 1000
     tone = lambda s: np.sin(np.arange(int(s * sr)) * 0.5).astype(np.float32)
