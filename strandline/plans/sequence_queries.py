@@ -173,19 +173,17 @@ def merge_short(spark, sf_dir):
 
 
 def _waves(spark, sf_dir):
-    """A synthetic wave for each track: a tone where notes sound, silence between, 1000 samples a second, half a minute."""
-    n = notes_of(spark, sf_dir).where("onset < 30").groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("onset", "offset"))).alias("r"))
+    """A synthetic wave for each track: a tone where notes sound, silence between, 1000 samples a second, up to the last offset."""
+    n = notes_of(spark, sf_dir).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("onset", "offset"))).alias("r"))
 
     def run(batches):
         for b in batches:
-            out = []
             for t, r in zip(b["track_id"], b["r"], strict=True):
-                x = np.zeros(30_000, np.float32)
-                for iv in r:
-                    a, z = int(iv["onset"] * 1000), min(30_000, int(iv["offset"] * 1000))
+                ends = [(int(iv["onset"] * 1000), int(iv["offset"] * 1000)) for iv in r]
+                x = np.zeros(max(z for _, z in ends), np.float32)
+                for a, z in ends:
                     x[a:z] = np.sin(np.arange(z - a) * 0.3)
-                out.append((t, 1000, x.tolist()))
-            yield pd.DataFrame(out, columns=["source_id", "sr", "samples"])
+                yield pd.DataFrame({"source_id": [t], "sr": [1000], "samples": [x]})
 
     return n.mapInPandas(run, "source_id bigint, sr int, samples array<float>")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandline import catalog
 from strandline.functions import codecs, itn, kana
 from strandline.operators import decoding, matching, series, slicing, stats
-from strandline.plans import pipeline
+from strandline.plans import pipeline, sequence_queries
 
 
 def lev(a, b):
@@ -146,6 +146,21 @@ def test_window_match_takes_any_run_of_an_item(spark, tmp_path):
     assert tuple(catalog.QUERIES["match_counters"](spark, str(tmp_path)).first()) == (6, 3, 0, 3)
 
 
+def test_waves_reach_to_the_last_offset(spark, tmp_path):
+    """A track of more than half a minute: notes and cuts after it count."""
+    at = [0.0, 1.0, 2.0, 40.0, 41.0, 60.0]
+    rows = [(k, 7, "click", 1.0, '{"k": 100}', t) for k, t in enumerate(at)]
+    d = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, props string, s double")
+    d.selectExpr("event_id", "user_id", "event_type", "value", "props", "timestamp_micros(cast(s * 60000 * 1000000 as bigint)) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    notes = sequence_queries.notes_of(spark, str(tmp_path)).collect()
+    assert max(n["onset"] for n in notes) > 30
+    wave = sequence_queries._waves(spark, str(tmp_path)).first()["samples"]
+    assert len(wave) == int(max(n["offset"] for n in notes) * 1000)
+    assert all(np.any(wave[int(n["onset"] * 1000) : int(n["offset"] * 1000)]) for n in notes)
+    for name in ("silence_slicer", "smart_slicer"):
+        assert max(r["offset"] + r["n_samples"] / 1000 for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) > 60
+
+
 def test_silence_slicer():
     sr = 1000
     tone = lambda s: np.sin(np.arange(int(s * sr)) * 0.5).astype(np.float32)
