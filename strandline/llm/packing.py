@@ -3,13 +3,13 @@
 Lengths are all that packing needs, and there are at most ``capacity`` of them,
 so the corpus is reduced to a histogram of lengths. Bin completion runs on that
 histogram: a branch takes the largest length left, enumerates undominated
-fillings around it and applies one as often as the counts allow; branches whose
-waste exceeds what a better solution may waste are pruned; best-fit decreasing
-gives the incumbents. The plan (patterns and how often each is used) grows with
-the number of distinct lengths, not of documents. Pieces then find their place by
-their rank within their length: rank ranges of a length are dealt to the slots of
-the patterns. Ranks are counted per (length, hash piece), so a hot length is
-spread over many tasks.
+fillings around it, of any number of items, and applies one as often as the counts
+allow; branches whose waste exceeds what a better solution may waste are pruned;
+best-fit decreasing gives the incumbents. The plan (patterns and how often each is
+used) grows with the number of distinct lengths, not of documents. Pieces then find
+their place by their rank within their length: rank ranges of a length are dealt to
+the slots of the patterns. Ranks are counted per (length, hash piece), and a length
+has the more pieces the more rows it has, so a hot one is spread over many tasks.
 
 Documents: ids of the text, then ``end_id``. Only longer ones than ``capacity``
 are cut, into pieces of ``capacity``; the first piece may be shorter.
@@ -22,6 +22,8 @@ columns are ignored; order among equal pieces does not matter.
 from __future__ import annotations
 
 import bisect
+import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -36,10 +38,10 @@ from strandline.runtime import durable, ship, table, tidy
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces in which the ranks of one length are counted.
-RANK_PIECES = 64
-#: Branches that the search may take before it settles for its incumbent, and fillings tried at each.
-NODES, FILLINGS = 40, 8
+#: Ranks of a length are counted in pieces of about so many rows, and of more where there would be more than so many pieces in all.
+RANK_ROWS, RANK_PIECES = 512, 16_384
+#: Steps that the search may take after its first descent before it settles for its incumbent.
+EFFORT = 5_000
 SHIFT = 44  # bits of a rank
 
 
@@ -125,96 +127,131 @@ def lower_bound(hist: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(hist: dict[int, int], room: int, waste: int, limit: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` that leave at most ``waste``, least waste and fewest items first."""
-    sizes = sorted((s for s, c in hist.items() if c and s <= room), reverse=True)
-    if not sizes:
-        return [()] if room <= waste else []
-    if room in hist and hist[room]:
-        return [(room,)]  # one item that fills it dominates all else
-    found: list[tuple[int, ...]] = []
-    steps = 0
-
-    def more(chosen: tuple[int, ...], left: int, at: int) -> None:
-        nonlocal steps
-        steps += 1
-        fits = False
-        for i in range(bisect.bisect_left(sizes, -left, at, key=lambda s: -s), len(sizes)):
+def fillings(hist: dict[int, int], room: int, waste: int, plenty: bool = False) -> Iterator[tuple[int, ...] | None]:
+    """Undominated ways to fill ``room`` that leave at most ``waste``, one after the other: least waste first, then large
+    items first or, with ``plenty``, those of which most are left. None stands for a dominated one, so that the caller can count what was tried; with large items first the first is never dominated.
+
+    Sums that the sizes from some place on can reach are the bits of a number, so the
+    enumeration enters no branch that does not end in a filling, however many items that takes."""
+    sizes = sorted((s for s, c in hist.items() if c and s <= room), key=(lambda s: (-hist[s], -s)) if plenty else (lambda s: -s))
+    if hist.get(room, 0):
+        yield (room,)  # one item that fills it dominates all else
+        return
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for s in reversed(sizes):
+        bits, left, k = reach[-1], min(hist[s], room // s), 1
+        while left:
+            k = min(k, left)
+            bits |= (bits << (k * s)) & mask
+            left, k = left - k, 2 * k
+        reach.append(bits)
+    reach.reverse()  # reach[i]: sums of sizes[i:]
+
+    def exact(total: int, at: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        for i in range(at if plenty else bisect.bisect_left(sizes, -total, at, key=lambda s: -s), len(sizes)):
+            if not reach[i] >> total & 1:
+                return
             s = sizes[i]
-            if hist[s] > chosen.count(s):
-                fits = True
-                if len(chosen) < 5 and steps < 600 and len(found) < 4 * limit:
-                    more((*chosen, s), left - s, i)
-        if not fits and left <= waste and not _dominated(chosen, left, hist, sizes):
-            found.append(chosen)
-
-    # exact pairs first: they are common and cost one pass
-    for s in sizes:
-        if 2 * s >= room and hist.get(room - s, 0) > (room == 2 * s):
-            found.append((s, room - s))
-            if len(found) >= limit:
-                break
-    if len(found) < limit:
-        more((), room, 0)
-    found = sorted(set(found), key=lambda f: (room - sum(f), len(f), [-s for s in f]))
-    return found[:limit]
+            for k in range(min(hist[s], total // s), 0, -1):
+                if reach[i + 1] >> (total - k * s) & 1:
+                    for rest in exact(total - k * s, i + 1):
+                        yield (s,) * k + rest
+
+    for left in range(min(waste, room) + 1):
+        if reach[0] >> (room - left) & 1:
+            for chosen in exact(room - left, 0):
+                yield None if _dominated(chosen, left, hist, sizes) else chosen
 
 
 def _dominated(chosen: tuple[int, ...], left: int, hist: dict[int, int], sizes: list[int]) -> bool:
-    """Whether one item left out could take the place of some chosen ones and fill as much or more."""
-    sums = {0: 0}
+    """Whether an item left out fits beside the chosen ones, or could take the place of some and fill more, or as much as two or more."""
+    one, two, free = 1, 0, 0  # bits: sums of any of the chosen, sums of two or more, sizes left out
     for s in chosen:
-        sums |= {t + s: n + 1 for t, n in list(sums.items()) if t + s not in sums or sums[t + s] < n + 1}
-    ascending = sizes[::-1]
-    for t, n in sums.items():
-        if not n:
-            continue
-        lo = bisect.bisect_left(ascending, t if n > 1 else t + 1)
-        if any(hist[s] > chosen.count(s) for s in ascending[lo : bisect.bisect_right(ascending, t + left)]):
-            return True
-    return False
-
-
-def bin_completion(hist: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Branch and bound over fillings of the largest item; its incumbents complete a branch by best fit."""
+        two |= two << s | (one & ~1) << s
+        one |= one << s
+    for s in sizes:
+        if hist[s] > chosen.count(s):
+            free |= 1 << s
+    wide, done = one << 1 if left else 0, 1
+    while done < left:  # sums with 1 to ``left`` added
+        step = min(done, left - done)
+        wide |= wide << step
+        done += step
+    return bool((wide | two) & free)
+
+
+def bin_completion(hist: dict[int, int], capacity: int, effort: int = EFFORT) -> list[tuple[tuple[int, ...], int]]:
+    """Branch and bound over fillings of the largest item; its incumbents complete a branch by best fit.
+
+    A branch uses a filling as often as the counts allow, and once; a state is entered
+    once. From a node its first branch is followed down; the others wait and are taken in
+    the order of how many such turns lead to them (limited discrepancy search). The first
+    descent, large items first, always reaches its end; then descents that spend the most
+    plentiful sizes first have their turn, which leaves mixed sizes to the end. After
+    ``effort`` further steps the incumbent stands. Small cases are searched through before that."""
     best = best_fit(hist, capacity)
     need, have = lower_bound(hist, capacity), sum(n for _, n in best)
-    total = sum(s * c for s, c in hist.items())
-    stack = [({s: c for s, c in hist.items() if c}, None, 0, 0)]
-    while stack and nodes and have > need:
-        nodes -= 1
-        rest, done, used, waste = stack.pop()
-        may = (have - 1) * capacity - total  # what a better solution wastes at most
-        if waste > may:
-            continue
-        depth = 0
-        while rest and depth < 4096:
-            depth += 1
-            top = max(rest)
-            ways = fillings({**rest, top: rest[top] - 1}, capacity - top, min(may - waste, capacity))
-            if not ways:
-                break
-            for w in ways[1:3][::-1]:
-                stack.append(_apply(rest, done, used, waste, (top, *w), capacity, 1))
-            rest, done, used, waste = _apply(rest, done, used, waste, (top, *ways[0]), capacity, None)
-            if waste > may:
+    start = {s: c for s, c in hist.items() if c}
+    total = sum(s * c for s, c in start.items())
+    seen: set[int] = set()  # hashes of states
+    queue: list[tuple] = [(0, False, 0, None, 0, 0, 0), (0, True, 0, None, 0, 0, 0)]  # turns, plenty, order, branch, bins, waste, ways tried
+    order, mark, steps, first = 0, total, 0, True
+
+    def branches(rest, waste, plenty):
+        top = max(rest)
+        for w in fillings({**rest, top: rest[top] - 1}, capacity - top, (have - 1) * capacity - total - waste, plenty):
+            items = (top, *(w or ()))
+            most = min(rest[s] // items.count(s) for s in set(items))
+            most = -(-most // 2) if plenty else most
+            yield from [(items, most), (items, 1)][: 1 + (most > 1)] if w is not None else [None]
+
+    while queue and have > need and steps < effort:
+        turns, plenty, _, done, used, waste, tried = heapq.heappop(queue)
+        rest, new = dict(start), True
+        for items, m in _listed(done):
+            _take(rest, items, m)
+        while rest and new and waste <= (have - 1) * capacity - total:
+            branch = None
+            for branch in itertools.islice(branches(rest, waste, plenty), tried, None):
+                tried += 1
+                steps += not first
+                if branch or steps >= effort:
+                    break
+            if not branch:
                 break
-        tail = best_fit(rest, capacity)
-        if (count := used + sum(n for _, n in tail)) < have:
-            have, best = count, [*_listed(done), *tail]
+            order += 1
+            heapq.heappush(queue, (turns + 1, plenty, order, done, used, waste, tried))
+            items, m = branch
+            _take(rest, items, m)
+            done, used, waste, tried = (done, items, m), used + m, waste + m * (capacity - sum(items)), 0
+            state = hash(frozenset(rest.items()))
+            new = state not in seen
+            seen.add(state)
+            volume = total - used * capacity + waste
+            if first and volume <= mark // 2:
+                mark = volume
+                have, best = _better(best, have, rest, done, used, capacity)
+        if new:  # the waste bound, or the end, closes this branch
+            have, best = _better(best, have, rest, done, used, capacity)
+        first = False
     return best
 
 
-def _apply(rest, done, used, waste, items, capacity, times):
-    uses = {s: items.count(s) for s in items}
-    m = min(rest[s] // n for s, n in uses.items())
-    m = min(m, times) if times else m
-    rest = dict(rest)
-    for s, n in uses.items():
-        rest[s] -= n * m
+def _take(rest: dict[int, int], items: tuple[int, ...], m: int) -> None:
+    for s in items:
+        rest[s] -= m
         if not rest[s]:
             del rest[s]
-    return rest, (done, items, m), used + m, waste + m * (capacity - sum(items))
+
+
+def _better(best, have, rest, done, used, capacity):
+    """The incumbent, or this branch completed by best fit if that has fewer bins."""
+    tail = best_fit(rest, capacity)
+    count = used + sum(n for _, n in tail)
+    return (count, [*_listed(done), *tail]) if count < have else (have, best)
 
 
 def _listed(done) -> list[tuple[tuple[int, ...], int]]:
@@ -242,14 +279,23 @@ def slots(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarr
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (durable; any columns, among them length and doc_id) with sequence_id and offset."""
+    """``pieces`` (durable; with the columns of ``token_pieces``) with sequence_id and offset.
+
+    A piece of ``capacity`` tokens is a sequence of its own, numbered below zero where it
+    stands. The others are ranked within their length, in as many pieces as its count asks for."""
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    hist.pop(capacity, None)
     key, seq, off = slots(bin_completion(hist, capacity))
-    dealt = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PIECES)).cast("int"))
-    counts = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))  # at most capacity * RANK_PIECES rows
+    each = max(RANK_ROWS, -(-sum(hist.values()) // RANK_PIECES))
+    parts = F.lit(",".join(str(-(-hist.get(n, 1) // each)) for n in range(capacity)))  # by length
+    full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
+    dealt = pieces.where(F.col("length") < capacity)
+    many = F.element_at(F.split(parts, ",").cast("array<bigint>"), (F.col("length") + 1).cast("int"))
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), many).cast("int"))
+    counts = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))  # at most capacity + RANK_PIECES rows
     before = W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select(F.col("length").alias("_l"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = W.partitionBy("length", "_part").orderBy("doc_id", "piece")
+    within = W.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1)
     ranked = ranked.join(F.broadcast(base), (F.col("length") == F.col("_l")) & (F.col("_part") == F.col("_p")))
     ranked = ranked.select(*pieces.columns, (F.shiftleft(F.col("length"), SHIFT) + F.col("_base") + F.col("_rank")).alias("_key"))
@@ -262,7 +308,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             cols = [*b.columns[:-1], pa.array(seq[i] + (want - key[i])), pa.array(off[i])]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    return full.unionByName(ranked.mapInArrow(place, schema))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

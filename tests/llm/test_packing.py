@@ -74,6 +74,65 @@ def test_small_cases_are_optimal_or_one_above():
     assert exact >= 38
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_search_beats_best_fit_where_many_pieces_share_a_sequence(seed):
+    r = random.Random(seed)
+    hist = Counter(r.randint(90, 160) for _ in range(4000))
+    n, first = (sum(k for _, k in f(hist, 1024)) for f in (packing.bin_completion, packing.best_fit))
+    assert n <= packing.lower_bound(hist, 1024) + 1 and first - n >= 10
+    hist = Counter(r.randint(20, 100) for _ in range(50_000))
+    assert sum(k for _, k in packing.bin_completion(hist, 1024)) == packing.lower_bound(hist, 1024)
+    assert sum(k for _, k in packing.bin_completion({100: 1000}, 1024)) == 100
+
+
+def _all_fillings(sizes, room):
+    """Every multiset of ``sizes`` (with repeats) that fits, by trying them all."""
+    out, items = set(), sorted(sizes, reverse=True)
+    for mask in range(1 << len(items)):
+        f = tuple(items[i] for i in range(len(items)) if mask >> i & 1)
+        if sum(f) <= room:
+            out.add(f)
+    return out
+
+
+def _subsets(f):
+    return [tuple(f[i] for i in range(len(f)) if mask >> i & 1) for mask in range(1, 1 << len(f))]
+
+
+def test_fillings_are_all_the_undominated_ones():
+    r = random.Random(8)
+    for plenty in (False, True):
+        for _ in range(60):
+            room, have = r.randint(5, 25), Counter(r.randint(1, 14) for _ in range(r.randint(1, 9)))
+            got = [f for f in packing.fillings(have, room, room, plenty) if f is not None]
+            assert len(got) == len(set(got)) and all(sum(f) <= room for f in got)
+            if have[room]:
+                assert got == [(room,)]
+                continue
+            want = set()
+            for f in _all_fillings(list(have.elements()), room):
+                left, free = room - sum(f), have - Counter(f)
+                swaps = [(sum(s), len(s)) for s in _subsets(f)] + [(0, 0)]
+                if not any(t <= x <= t + left and (x > t or n > 1) for x in free for t, n in swaps):
+                    want.add(f)
+            assert {tuple(sorted(f, reverse=True)) for f in got} == want
+            assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_ranks_of_a_hot_length(spark, monkeypatch):
+    """Many pieces of one length, also with null and repeated ids, and full pieces each get one place."""
+    monkeypatch.setattr(packing, "RANK_ROWS", 16)
+    rows = [(None if i % 5 == 0 else i // 3, 0, 0, 100 if i < 400 else 1 + i % 200, i) for i in range(900)] + [(9, 0, 0, 1024, 5)] * 30
+    d = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint").repartition(3)
+    out = packing.pack(packing.durable(d)).toPandas()
+    assert sorted(out["length"]) == sorted(x[3] for x in rows) and sorted(out["ids_crc32"]) == sorted(x[4] for x in rows)
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 1024
+    hist = Counter(x[3] for x in rows)
+    assert out["sequence_id"].nunique() <= packing.lower_bound(hist, 1024) + 1
+
+
 def test_packed_documents(awkward, empty, plain):
     rows = packing.pack_documents(awkward, with_ids=True).toPandas()
     texts = [(r["doc_id"], r["text"]) for r in awkward.collect()]
