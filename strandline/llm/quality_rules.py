@@ -8,7 +8,8 @@ by doubling (pairs, fours, eights).
 Verdict: each word, the last two characters of each word, and each pair of
 neighbouring words is an n-gram, hashed into one of ``BUCKETS`` buckets. Two multinomials
 with add-``SMOOTH`` smoothing are counted over all documents: of the trusted
-target (rows with ``labels.quality`` = 1) and of the raw corpus. A document's
+target (rows with ``labels.quality`` = 1, found behind a Bloom filter of their ids) and
+of the raw corpus, which needs no join. A document's
 score is the sum of log(target/raw) over its n-grams divided by their number; it
 is kept if the score is at least ``THRESHOLD``. Weights are whole numbers (1e-6),
 so sums do not depend on the order of rows.
@@ -28,16 +29,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.words import words
-from strandline.runtime import durable, table
+from strandline.runtime import table
 
 BUCKETS = 1 << 16
 SMOOTH = 1.0
+#: In the gap between the two kinds: of 17 242 trusted documents (base rules passed) none scores below -0.05, of
+#: 1 397 labelled as low 95 in a hundred score below -1.7; any threshold from -0.4 to -0.1 gives the same verdicts but for one row.
 THRESHOLD = -0.2
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT = 30  # percent
-#: Trusted ids that may be sent to every executor.
-TRUSTED_ROWS = 1_000_000
+#: Most bits of the filter of trusted ids.
+FILTER_BITS = 1 << 27
 TAIL = 2
 
 
@@ -89,21 +92,53 @@ def _bucket(gram: Column, buckets: int) -> Column:
     return F.pmod(gram, F.lit(buckets).cast("bigint")).cast("int")
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH, pairs: bool = False) -> list[int]:
-    """Weight of each bucket: log ratio in 1e-6, counted over every document; ``pairs`` adds those of neighbouring words to words and their ends."""
-    trusted = durable(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().withColumn("_good", F.lit(1)))
-    if trusted.limit(TRUSTED_ROWS + 1).count() <= TRUSTED_ROWS:
-        trusted = F.broadcast(trusted)  # else both sides are dealt by id
-    marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left")
-    found = with_pairs(with_words(marked)) if pairs else with_words(marked)
-    grams = found.select("_good", F.explode(F.concat("_q_h", "_q_e", *["_q_b"] * pairs)).alias("gram")).select("_good", _bucket(F.col("gram"), buckets).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_good").alias("good")).collect()  # at most `buckets` rows
-    all_raw, all_good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
-    out = [0] * buckets
-    if all_good:
-        for r in counts:
-            good, raw = (r["good"] + smooth) / (all_good + smooth * buckets), (r["raw"] + smooth) / (all_raw + smooth * buckets)
-            out[r["bucket"]] = round(1e6 * math.log(good / raw))
+def trusted_rows(docs: DataFrame, labels: DataFrame, most: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``docs`` that a label calls good: a Bloom filter of their ids lets few others through to
+    an exact semi-join, so that hardly any text moves but theirs.
+
+    The filter has 16 bits for an id and ``most`` in all; beyond that more rows pass it, and the join removes them."""
+    kind = dict(docs.dtypes)["doc_id"]
+    ids = labels.where("quality = 1").select(F.col("doc_id").cast(kind).alias("_id")).where("_id is not null")
+    bits = 1 << 12
+    while bits < min(most, 16 * ids.count()):
+        bits *= 2
+
+    def places(id_: Column) -> list[Column]:
+        h = F.xxhash64(id_)
+        step = F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1).cast("bigint"))
+        return [(h + k * step).bitwiseAND(F.lit(bits - 1).cast("bigint")) for k in range(4)]
+
+    at = ids.select(F.explode(F.array(*places(F.col("_id")))).alias("at"))
+    got = at.groupBy(F.shiftrightunsigned("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("set")).toArrow()  # at most ``most`` / 8 rows
+    filter_ = bytearray(bits // 8)
+    for b, v in zip(got.column("byte").to_pylist(), got.column("set").to_pylist(), strict=True):
+        filter_[b] = v
+    table_ = F.lit(bytes(filter_))
+    byte = lambda p: F.conv(F.hex(F.substring(table_, (F.shiftrightunsigned(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maybe = F.lit(True)
+    for p in places(F.col("doc_id")):
+        maybe = maybe & (F.call_function("shiftright", byte(p), p.bitwiseAND(F.lit(7).cast("bigint")).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return docs.where(F.col("doc_id").isNotNull() & maybe).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+
+
+def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, pairs: bool = True) -> dict[int, int]:
+    """N-grams in each bucket over every row of ``docs``."""
+    found = with_words(docs.select("text"))
+    found = with_pairs(found) if pairs else found
+    grams = found.select(F.explode(F.concat("_q_h", "_q_e", *["_q_b"] * pairs)).alias("gram")).groupBy(_bucket(F.col("gram"), buckets).alias("bucket"))
+    return {r["bucket"]: r["n"] for r in grams.agg(F.count("*").alias("n")).collect()}  # at most `buckets` rows
+
+
+def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH, pairs: bool = True) -> list[int]:
+    """Weight of each bucket: log ratio in 1e-6, counted over every document."""
+    some = docs.select("doc_id", "text")
+    good = bucket_counts(trusted_rows(some, labels), buckets, pairs)
+    if not good:
+        return [0] * buckets
+    raw = bucket_counts(some, buckets, pairs)
+    all_raw, all_good, out = sum(raw.values()), sum(good.values()), [0] * buckets
+    for b, n in raw.items():
+        out[b] = round(1e6 * math.log((good.get(b, 0) + smooth) / (all_good + smooth * buckets) / ((n + smooth) / (all_raw + smooth * buckets))))
     return out
 
 
@@ -127,7 +162,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     The results leave through a generator of one row: a later filter on them would
     else be pushed below and compute the arrays anew for each of its references."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    scored = with_base(with_score(with_pairs(with_words(docs)), bucket_weights(docs, labels, pairs=True)))
+    scored = with_base(with_score(with_pairs(with_words(docs)), bucket_weights(docs, labels)))
     scored = scored.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.coalesce("_q_score", F.lit(-1e9)) >= threshold))
     return scored.select(*cols, F.inline(F.array(F.struct(*[F.col(f"_q_{n}").alias(f"_q_{n}") for n in RESULTS]))))
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+import xxhash
 
 from strandline.llm import mixing, quality_rules, sharding, url_filter
 from strandline.runtime import table
@@ -43,29 +44,43 @@ def test_base_counts_on_documents(spark, sf):
     assert got == sorted((str(r["doc_id"]), *brute_base(r["text"])) for r in docs.collect())
 
 
-def test_ratio_against_plain_counting(spark, sf):
-    """The score from counts of words and word ends themselves, in as many buckets that none is shared."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    labels = table(spark, sf, "labels")
+def _grams(text):
+    """The hashed n-grams of a text: words, their last two characters, pairs of neighbours."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest()
+    link = lambda a, b: xxhash.xxh64(b.to_bytes(8, "little"), seed=xxhash.xxh64(a.to_bytes(8, "little"), seed=42).intdigest()).intdigest()
+    w = re.findall(WORD, text or "")
+    hw = [h(x) for x in w]
+    return [signed(x) for x in hw + [h(x[-2:]) for x in w] + [link(a, b) for a, b in zip(hw, hw[1:])]]
+
+
+@pytest.mark.parametrize("most", [quality_rules.FILTER_BITS, 1 << 12])
+def test_ratio_against_plain_counting(spark, sf, most, monkeypatch):
+    """Every score and verdict from counting the same hashed n-grams in plain Python, also with a filter that is too small."""
+    monkeypatch.setattr(quality_rules.trusted_rows, "__defaults__", (most,))
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
     good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
-    grams = {r["doc_id"]: [("w", w) for w in re.findall(WORD, r["text"] or "")] + [("e", w[-2:]) for w in re.findall(WORD, r["text"] or "")] for r in docs.collect()}
-    # words of two characters or fewer are their own ends, and hash alike
-    grams = {d: [g[1] for g in gs] for d, gs in grams.items()}
+    n = quality_rules.BUCKETS
+    rows = [(r["doc_id"], [g % n for g in _grams(r["text"])]) for r in docs.collect()]
     raw, kept = Counter(), Counter()
-    for d, gs in grams.items():
+    for d, gs in rows:
         raw.update(gs)
-        if d in good:
-            kept.update(gs)
-    n = 1 << 20
-    w = {g: round(1e6 * math.log((kept[g] + 1) / (kept.total() + n) / ((c + 1) / (raw.total() + n)))) for g, c in raw.items()}
-    scored = quality_rules.with_score(quality_rules.with_words(docs), quality_rules.bucket_weights(docs, labels, buckets=n))
-    close = 0
-    rows = scored.select("doc_id", "_q_score").collect()
-    for r in rows:
-        gs = grams[r["doc_id"]]
-        want = sum(w[g] for g in gs) / len(gs) / 1e6 if gs else None
-        close += (want is None and r["_q_score"] is None) or abs(want - r["_q_score"]) < 0.02
-    assert close >= 0.98 * len(rows)  # a few n-grams share a bucket
+        kept.update(gs if d in good else [])
+    w = {b: round(1e6 * math.log((kept[b] + 1) / (kept.total() + n) / ((c + 1) / (raw.total() + n)))) for b, c in raw.items()}
+    want = {d: sum(w[b] for b in gs) / len(gs) / 1e6 if gs else None for d, gs in rows}
+    for r in quality_rules.judge(docs, labels).collect():
+        s = want[r["doc_id"]]
+        assert r["_q_score"] == s or abs(r["_q_score"] - s) < 1e-12
+        assert r["_q_kept"] == (not r["_q_base_failed"] and s is not None and s >= quality_rules.THRESHOLD)
+
+
+def test_trusted_rows_are_those_with_a_label(spark, awkward, labels):
+    d = spark.range(20_000).selectExpr("id as doc_id", "concat('t', id) as text")
+    good = spark.range(0, 20_000, 7).selectExpr("id as doc_id", "1 as quality").unionByName(spark.range(0, 20_000, 3).selectExpr("id as doc_id", "0 as quality"))
+    got = quality_rules.trusted_rows(d, good.unionByName(good))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, 20_000, 7))
+    assert "Python" not in got._jdf.queryExecution().toString()
+    assert sorted(r["doc_id"] for r in quality_rules.trusted_rows(awkward, labels).collect()) == [1, 2, 3, 8, 10, 10]
 
 
 def test_query_scores_word_pairs(spark, tmp_path):
