@@ -118,7 +118,7 @@ def trusted_rows(docs: DataFrame, labels: DataFrame, most: int = FILTER_BITS) ->
     maybe = F.lit(True)
     for p in places(F.col("doc_id")):
         maybe = maybe & (F.call_function("shiftright", byte(p), p.bitwiseAND(F.lit(7).cast("bigint")).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return docs.where(F.col("doc_id").isNotNull() & maybe).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    return docs.where(F.col("doc_id").isNotNull() & maybe).join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")  # the same way at every size
 
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, pairs: bool = True) -> dict[int, int]:
