@@ -17,8 +17,10 @@ band the universe of shingle hashes is divided into segments:
   one-deletion neighbourhood. Of a pair of which one has enough segments above,
   that one's stretch is the shorter, so this serves pairs of two such sets only.
 
-Common shingles are estimated on every eighth document (``SHARE``); the estimate
-steers cost only, never what is found: any choice gives all links.
+Common shingles are estimated on every eighth document (``SHARE``): those in ``COMMON``
+of these, or in one of ``RARE`` where that is more, so that they are at most ``RARE``
+times the mean size of a set. The estimate steers cost only, never what is found:
+any choice gives all links.
 
 Equal sets are one class from the start, named by a fingerprint whose low bits tell
 the size to one per cent. Copies thus cost one signature set per task and are never
@@ -31,7 +33,12 @@ too much ends, then on whole sets. Components are formed. What lists still hold
 apart is compared in clusters, all such lists of a hub together: each set travels
 once for its cluster, not once for each pair, and a block of sets is compared by one
 product of matrices; only links leave the cluster. Pairs inside one component need
-no check for the components to be exact.
+no check for the components to be exact. A cluster of more than ``BLOCK`` sets signs
+anew, with what is common inside the cluster skipped: all its sets agree on that, so
+its similar pairs still meet, and unrelated texts that merely share a passage do not.
+
+Texts are found by ids behind a Bloom filter, and joins on classes and hubs deal hot
+keys to many tasks, at every size in the same way.
 
 Defined cases: A-Z are lower-cased; null and empty text has no shingles and links
 with nothing; repeated rows are copies of each other; null doc_ids join components
@@ -51,6 +58,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
+from strandline.llm.joins import id_filter, spread_join
 from strandline.llm.shingles import mix, shingle_sets
 from strandline.runtime import durable, ship, shuffle_partitions, table, tidy
 
@@ -58,14 +66,14 @@ WIDTH = 5
 NUM, DEN = 80, 100
 #: Up to this size, bands grow by the similarity and sign one-deletion neighbourhoods; above, they double.
 SMALL = 64
-#: One of so many documents tells common shingles; how many of these make one common, and how many are told.
-SHARE, COMMON, TOLD = 8, 4, 1_000_000
+#: One of so many documents tells common shingles; a shingle in so many of these, and in one of so many, is common.
+SHARE, COMMON, RARE = 8, 4, 8_000
+#: Sets of a large cluster, about, that tell what is common inside it.
+GUIDES = 64
 #: Signatures that a task gathers before it sends them, and buckets for each shuffle partition.
 FLUSH, BUCKETS_EACH = 1_000_000, 8
 #: Sets of a cluster that are compared at a time.
 BLOCK = 768
-#: Ids of documents to compare that may be sent to every executor.
-IDS = 1_000_000
 
 
 class Bands:
@@ -155,19 +163,20 @@ STAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary
 STAGE_SQL = "bucket int, kind int, a binary, b binary, c binary"
 
 
+def _packed(s: np.ndarray, nodes: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Signatures and their classes, a row for each bucket."""
+    bucket = _segments(s, n_buckets).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    s, nodes, bucket = s[order], nodes[order], bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(bucket)]
+    rows = [(int(bucket[a]), 1, s[a:z].tobytes(), nodes[a:z].tobytes(), None) for a, z in zip(cut, cut[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), STAGE, strict=True)], schema=STAGE)
+
+
 def _emit(batches: Iterator[pa.RecordBatch], width: int, bands: Bands, common: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Kind 0: doc_ids, fingerprints, set sizes of many documents; kind 1: signatures of one bucket with their classes."""
     sigs, nodes, seen, held = [], [], set(), 0
 
-    def flush():
-        s, n = np.concatenate(sigs), np.concatenate(nodes)
-        bucket = _segments(s, n_buckets).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        s, n, bucket = s[order], n[order], bucket[order]
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(bucket)]
-        rows = [(int(bucket[a]), 1, s[a:z].tobytes(), n[a:z].tobytes(), None) for a, z in zip(cut, cut[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), STAGE, strict=True)], schema=STAGE)
-
     turn = 0
     for batch in batches:
         ids = batch.column(0)
@@ -188,10 +197,10 @@ def _emit(batches: Iterator[pa.RecordBatch], width: int, bands: Bands, common: n
                     sigs.append(s), nodes.append(np.full(len(s), fp, np.int64))
                     held += len(s)
             if held >= FLUSH:
-                yield flush()
+                yield _packed(np.concatenate(sigs), np.concatenate(nodes), n_buckets)
                 sigs, nodes, seen, held = [], [], set(), 0
     if held:
-        yield flush()
+        yield _packed(np.concatenate(sigs), np.concatenate(nodes), n_buckets)
 
 
 MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("list", pa.binary())])
@@ -260,9 +269,9 @@ def common_shingles(docs: DataFrame, width: int, share: int = SHARE, common: int
             for some in shingle_sets(b.column(1), width):
                 yield pa.RecordBatch.from_arrays([pa.array([u.view(np.int64) for u in some], pa.list_(pa.int64()))], ["u"])
 
-    often = some.mapInArrow(sets, "u array<bigint>").select(F.explode("u").alias("u")).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= common)
-    got = often.orderBy(F.desc("n"), "u").limit(TOLD).select("u").toArrow().column("u").to_numpy()
-    return np.sort(got.view(np.uint64))
+    bar = max(common, -(-some.count() // RARE))
+    often = some.mapInArrow(sets, "u array<bigint>").select(F.explode("u").alias("u")).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= bar)
+    return np.sort(often.select("u").toArrow().column("u").to_numpy().view(np.uint64))  # at most RARE times the mean size of a set
 
 
 def candidates(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -270,7 +279,7 @@ def candidates(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     parts = shuffle_partitions(spark)
-    sent = spark.sparkContext.broadcast(common_shingles(docs, width))  # at most TOLD numbers
+    sent = spark.sparkContext.broadcast(common_shingles(docs, width))
     n, reach = parts * BUCKETS_EACH, size_reach(bands.num, bands.den)
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda b: tidy(_emit(b, width, bands, sent.value, n)), STAGE_SQL)
     return durable(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: tidy(_meet(b, reach)), MET_SQL))
@@ -292,12 +301,10 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num:
 
 
 def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int, below: int) -> DataFrame:
-    """fp, n, u (hashes under ``below``) of the wanted classes; a class comes more than once only where rows repeat a doc_id or have none."""
-    ids = durable(reps.join(wanted, "fp", "left_semi").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct())
-    few = ids.limit(IDS + 1).count() <= IDS
+    """fp, n, u (hashes under ``below``) of the wanted classes and a few others; a class comes more than once only where rows repeat a doc_id or have none."""
+    ids = durable(reps.join(wanted, "fp", "left_semi").select("doc_id").where("doc_id is not null"))
     some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    known = some.where("doc_id is not null")
-    known = known.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    some = some.where(F.col("doc_id").isNull() | id_filter(ids)(F.col("doc_id")))  # what it lets through besides meets no pair
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -306,7 +313,7 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int, below
                 cut = [u if below == WHOLE else u[: np.searchsorted(u, np.uint64(below))] for u in some]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(u) for u in some], pa.int64()), pa.array([len(u) for u in some], pa.int64()), pa.array([u.tobytes() for u in cut], pa.binary())], ["fp", "n", "u"])
 
-    return known.unionByName(some.where("doc_id is null")).mapInArrow(lambda b: tidy(sets(b)), "fp bigint, n bigint, u binary")
+    return some.mapInArrow(lambda b: tidy(sets(b)), "fp bigint, n bigint, u binary")
 
 
 def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num: int, den: int, below: int) -> DataFrame:
@@ -314,7 +321,8 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     found = _sets(docs, reps, wanted, width, below)
     side = lambda k: found.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("u").alias(f"u{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ua", "ub")
+    one = spread_join(pairs, side("a"), "a", F.col("b"))
+    both = spread_join(one, side("b"), "b", F.col("a"), counted=pairs).select("a", "b", "na", "nb", "ua", "ub")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -346,19 +354,67 @@ def hub_pairs(under: DataFrame, reach: int) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def cluster_links(docs: DataFrame, reps: DataFrame, under: DataFrame, comp: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links between classes under one hub (hub, node) that are not in one component."""
-    parts = shuffle_partitions(docs.sparkSession)
-    under = durable(under.join(comp.withColumnRenamed("component", "c"), "node", "left").select("hub", "node", F.coalesce("c", "node").alias("c")))
-    sizes = under.groupBy("hub").agg(F.count("*").alias("k"), F.min("c").alias("lo_c"), F.max("c").alias("hi_c")).where("lo_c < hi_c")
+def _open(under: DataFrame) -> DataFrame:
+    """hub and k (its classes) of clusters in which more than one component is left. ``under``: hub, node, c."""
+    return under.groupBy("hub").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hub", "k")
+
+
+def _compared(under: DataFrame, sizes: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """Links inside clusters (hub, node, c; ``sizes``: hub, k), by pairs of blocks of sets (``found``)."""
     d = under.join(sizes.select("hub", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "hub")
     d = d.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     d = d.select("hub", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "c")
-    found = _sets(docs, reps, d.select(F.col("node").alias("fp")).distinct(), width, WHOLE)
-    d = d.join(found.withColumnRenamed("fp", "node"), "node").repartition(parts, "hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "node")
+    d = d.join(found.withColumnRenamed("fp", "node"), "node").repartition(shuffle_partitions(under.sparkSession), "hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "node")
     return d.select("hub", "lo", "hi", "side", "node", "c", "n", "u").mapInArrow(lambda b: tidy(_clusters(b, num, den)), "a bigint, b bigint").distinct()
 
 
+def cluster_links(docs: DataFrame, reps: DataFrame, under: DataFrame, comp: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links between classes under one hub (hub, node) that are not in one component."""
+    c = comp.withColumnRenamed("component", "c")
+    under = durable(under.join(c, "node", "left").select("hub", "node", F.coalesce("c", "node").alias("c")))
+    sizes = durable(_open(under))
+    wanted = under.join(sizes, "hub", "left_semi").select(F.col("node").alias("fp")).distinct()
+    found = _sets(docs, reps, wanted, width, WHOLE)
+    links = _compared(under, sizes.where(F.col("k") <= BLOCK), found, num, den)
+    large = sizes.where(F.col("k") > BLOCK)
+    if not large.limit(1).count():
+        return links
+    met = _signed_anew(under, large, found, Bands(num, den))
+    lists = durable(_unpack_lists(met.where("kind = 2").select("a", "list").dropDuplicates(["a"])).select(F.col("a").alias("hub"), "node").join(c, "node", "left").select("hub", "node", F.coalesce("c", "node").alias("c")))
+    some = _compare(docs, reps, durable(met.where("kind = 1").select("a", "b").distinct()), width, num, den, WHOLE)
+    return links.unionByName(some).unionByName(_compared(lists, _open(lists), found, num, den)).distinct()
+
+
+def _signed_anew(under: DataFrame, large: DataFrame, found: DataFrame, bands: Bands) -> DataFrame:
+    """Durable rows of MET for clusters that sign with what is common among about ``GUIDES`` of their sets skipped."""
+    spark = under.sparkSession
+    parts, reach = shuffle_partitions(spark), size_reach(bands.num, bands.den)
+    n = parts * BUCKETS_EACH
+    members = under.join(F.broadcast(large), "hub").select("hub", "k", F.col("node").alias("fp"))  # one row for BLOCK classes at most
+    members = durable(members.join(found.dropDuplicates(["fp"]), "fp").select("hub", "k", "fp", "u"))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(u.as_buffer(), np.int64) for u in b.column(1)], pa.list_(pa.int64()))], ["hub", "us"])
+
+    guides = members.where(F.pmod(F.xxhash64("fp"), F.col("k")) < GUIDES).select("hub", "u").mapInArrow(numbers, "hub bigint, us array<bigint>")
+    often = guides.select("hub", F.explode("us").alias("x")).groupBy("hub", "x").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    common = members.select("hub").distinct().join(often.groupBy("hub").agg(F.sort_array(F.collect_list("x")).alias("common")), "hub", "left")  # of about GUIDES sets
+    common = common.select("hub", F.coalesce("common", F.array().cast("array<bigint>")).alias("common"))
+    signing = spread_join(members.select("hub", "fp", "u"), common, "hub", F.col("fp"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for hub, fp, u, often in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                s = signatures(np.frombuffer(u.as_buffer(), np.uint64), bands, np.sort(often.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+                s = mix(s ^ mix(np.array([hub], np.int64).view(np.uint64)))  # clusters keep to themselves
+                if len(s):
+                    yield _packed(s, np.full(len(s), fp, np.int64), n)
+
+    rows = signing.select("hub", "fp", "u", "common").mapInArrow(lambda b: tidy(sign(b)), STAGE_SQL)
+    return durable(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: tidy(_meet(b, reach)), MET_SQL))
+
+
 def _clusters(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     key, rows = None, {}
 
@@ -419,8 +475,10 @@ def similar_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     groups = comp.select(F.col("node").alias("fp"), "component").join(least, "fp")
     groups = groups.join(groups.groupBy("component").agg(F.min("least").alias("first")), "component").select("fp", "first")
     named = least.join(groups, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("first", "least").alias("component_id"))
-    out = classes.join(named, (F.col("fp") == F.col("_fp")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "fp", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    full = classes.where("n_shingles > 0").withColumn("_row", F.monotonically_increasing_id())  # of a durable table
+    full = spread_join(full, named.withColumnRenamed("_fp", "fp"), "fp", F.col("_row"))
+    none = classes.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    return full.select("doc_id", "fp", "n_shingles", "component_id").unionByName(none)
 
 
 def _unpack_lists(lists: DataFrame) -> DataFrame:
@@ -437,18 +495,18 @@ def keep_one(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN
     """The rows of ``docs`` that stay when each group keeps one: that of the smallest doc_id.
 
     Documents without shingles stay, and so do those without doc_id. Of rows that
-    repeat doc_id and text one stays. What goes is the smaller part, so its ids meet
-    the texts: sent to the executors up to ``IDS``, else in a shuffled join."""
+    repeat doc_id and text one stays. A filter of the ids in question tells which rows
+    stay as they are; only what it lets through meets the ids in a shuffled join."""
     found = durable(similar_components(docs, width, num, den).where("n_shingles > 0 and doc_id is not null"))
-    gone = durable(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct())
-    twice = durable(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"))
-    sent = lambda ids: F.broadcast(ids) if ids.limit(IDS + 1).count() <= IDS else ids
-    same = F.col("doc_id") == F.col("_id")
-    stay = docs.join(sent(gone), same, "left_anti")
-    if twice.limit(1).count():
-        once = stay.join(sent(twice), same, "left_semi").dropDuplicates(["doc_id", "text"])
-        stay = stay.join(sent(twice), same, "left_anti").unionByName(once)
-    return stay
+    state = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("_goes"), F.count("*").alias("_times"))
+    asked = durable(state.where("_goes or _times > 1"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col("doc_id").cast("bigint").alias("_doc"), "text")
+    maybe = id_filter(asked.select("_id"))(F.col("_doc"))
+    checked = rows.where(maybe).join(asked.hint("merge"), F.col("_doc") == F.col("_id"), "left").where("_goes is null or not _goes")
+    once = checked.where("_times > 1").dropDuplicates(["_doc", "text"])
+    kept = rows.where(~maybe).select("_row").unionByName(checked.where("_times is null").select("_row")).unionByName(once.select("_row"))
+    return kept.select("_row.*")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.joins import FILTER_BITS, id_filter
 from strandline.llm.words import words
 from strandline.runtime import table
 
@@ -39,8 +40,6 @@ THRESHOLD = -0.2
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT = 30  # percent
-#: Most bits of the filter of trusted ids.
-FILTER_BITS = 1 << 27
 TAIL = 2
 
 
@@ -93,32 +92,12 @@ def _bucket(gram: Column, buckets: int) -> Column:
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame, most: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``docs`` that a label calls good: a Bloom filter of their ids lets few others through to
-    an exact semi-join, so that hardly any text moves but theirs.
-
-    The filter has 16 bits for an id and ``most`` in all; beyond that more rows pass it, and the join removes them."""
+    """Rows of ``docs`` that a label calls good: a Bloom filter of their ids (``most`` bits at most) lets few others
+    through to an exact semi-join, so that hardly any text moves but theirs."""
     kind = dict(docs.dtypes)["doc_id"]
     ids = labels.where("quality = 1").select(F.col("doc_id").cast(kind).alias("_id")).where("_id is not null")
-    bits = 1 << 12
-    while bits < min(most, 16 * ids.count()):
-        bits *= 2
-
-    def places(id_: Column) -> list[Column]:
-        h = F.xxhash64(id_)
-        step = F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1).cast("bigint"))
-        return [(h + k * step).bitwiseAND(F.lit(bits - 1).cast("bigint")) for k in range(4)]
-
-    at = ids.select(F.explode(F.array(*places(F.col("_id")))).alias("at"))
-    got = at.groupBy(F.shiftrightunsigned("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("set")).toArrow()  # at most ``most`` / 8 rows
-    filter_ = bytearray(bits // 8)
-    for b, v in zip(got.column("byte").to_pylist(), got.column("set").to_pylist(), strict=True):
-        filter_[b] = v
-    table_ = F.lit(bytes(filter_))
-    byte = lambda p: F.conv(F.hex(F.substring(table_, (F.shiftrightunsigned(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    maybe = F.lit(True)
-    for p in places(F.col("doc_id")):
-        maybe = maybe & (F.call_function("shiftright", byte(p), p.bitwiseAND(F.lit(7).cast("bigint")).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return docs.where(F.col("doc_id").isNotNull() & maybe).join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")  # the same way at every size
+    some = docs.where(id_filter(ids, most)(F.col("doc_id")))
+    return some.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")  # the same way at every size
 
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, pairs: bool = True) -> dict[int, int]:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, copies int, _q_kept int, size string"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, copies int, _q_kept int, size string, _id int, _row int, _doc int, _mix_cut int, _mix_copy int, _salt int, _r_source int, _deal int"
 
 
 def _clean(words: int, seed: int) -> str:
@@ -21,7 +21,7 @@ def awkward(spark):
         (7, "two words", "en", "c"), (8, _clean(30_000, 2), "en", "a"), (9, "x" * 50_000, "en", None), (10, _clean(40, 3), "fr", "b"), (10, _clean(40, 3), "fr", "b"), (None, _clean(60, 4), "en", "a"),
         (11, "dup line here\n" * 30, "en", "c"), (12, "Ünï çödé 漢字 \U0001f600 " * 30, None, "é"), (13, "it's a \u2019quote\u2019 don't <|endoftext|> \n\n end", "en", "c"),
     ]
-    return spark.createDataFrame([(i, t, la, s, len(t or ""), 7, 1, "clash") for i, t, la, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, la, s, len(t or ""), 7, 1, "clash", 1, 2, 3, 4, 5, 6, 7, 8) for i, t, la, s in rows], DOCS)
 
 
 @pytest.fixture(scope="session")

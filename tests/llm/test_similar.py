@@ -7,9 +7,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from strandline.llm import jaccard_join as J
 from strandline.llm import lattice_dedup as L
 from strandline.llm.components import components
+from strandline.llm.joins import id_filter, spread_join
 from strandline.llm.shingles import shingle_sets
 from strandline.runtime import table
 
@@ -112,6 +115,56 @@ def test_shared_passages_and_hot_groups(spark):
     assert _got(d) == sorted(map(str, brute(rows)))
 
 
+def _passage_in_all(n, r):
+    """Unrelated documents that share a passage, chains of near copies among them that share it too."""
+    rows, passage = [], [f"p{i}" for i in range(60)]
+    for i in range(n):
+        own = [f"d{i}x{j}" for j in range(r.randint(150, 300))]
+        rows.append((i, " ".join(passage + own if i % 2 else own + passage)))
+        if i % 10 == 0:
+            for k in range(3):
+                own = edited(own, r, 0.01)
+                rows.append((n + 3 * i + k, " ".join(passage + own)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [64])
+def test_large_clusters_sign_anew(spark, block, monkeypatch):
+    """Nothing is known as common beforehand, so all that share the passage are one cluster; its work stays linear and no link is lost."""
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "common_shingles", lambda docs, width: np.zeros(0, np.uint64))
+    work, compared = [], J._compared
+
+    def counting(under, sizes, *rest):
+        work.append([r["k"] for r in sizes.collect()])
+        return compared(under, sizes, *rest)
+
+    monkeypatch.setattr(J, "_compared", counting)
+    rows = _passage_in_all(500, random.Random(3))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert _got(d) == sorted(map(str, brute(rows)))
+    # clusters of a block at most are compared whole; of the large one next to nothing is left to compare
+    assert len(work) == 2 and max(work[0]) <= block and sum(k * k for k in work[1]) < len(rows)
+
+
+def test_spread_join_is_an_inner_join(spark):
+    r = random.Random(1)
+    big = [(0 if r.random() < 0.4 else r.randrange(300), i) for i in range(4000)] + [(None, 1)]
+    small = [(k, f"s{k}") for k in range(0, 250)] + [(7, "again")]
+    b, s = spark.createDataFrame(big, "k bigint, v bigint"), spark.createDataFrame(small, "k bigint, w string")
+    got = sorted(tuple(x) for x in spread_join(b, s, "k", F.col("v"), rows=50).select("k", "v", "w").collect())
+    assert got == sorted((k, v, w) for k, v in big for j, w in small if k == j)
+    assert spread_join(b.limit(0), s, "k", F.col("v")).count() == 0
+
+
+def test_id_filter_holds_for_every_id(spark):
+    ids, other = spark.range(0, 30_000, 3), spark.range(1, 30_000, 3)
+    for most, share in ((1 << 27, 0.02), (1 << 12, 1.01)):
+        maybe = id_filter(ids, most)(F.col("id"))
+        assert ids.where(maybe).count() == 10_000 and other.where(maybe).count() <= share * 10_000
+    assert ids.where(id_filter(ids.limit(0))(F.col("id"))).count() == 0
+
+
 def test_signatures_meet_for_every_similar_pair():
     """The guarantee itself: any pair at or above the bound shares a signature, whatever counts as common."""
     r = np.random.default_rng(4)
