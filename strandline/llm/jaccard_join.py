@@ -33,7 +33,7 @@ too much ends, then on whole sets. Components are formed. What lists still hold
 apart is compared in clusters, all such lists of a hub together: each set travels
 once for its cluster, not once for each pair, and a block of sets is compared by one
 product of matrices; only links leave the cluster. Pairs inside one component need
-no check for the components to be exact. A cluster of more than ``BLOCK`` sets signs
+no check for the components to be exact. A cluster of more than ``BLOCKS`` blocks signs
 anew, with what is common inside the cluster skipped: all its sets agree on that, so
 its similar pairs still meet, and unrelated texts that merely share a passage do not.
 
@@ -67,13 +67,15 @@ NUM, DEN = 80, 100
 #: Up to this size, bands grow by the similarity and sign one-deletion neighbourhoods; above, they double.
 SMALL = 64
 #: One of so many documents tells common shingles; a shingle in so many of these, and in one of so many, is common.
-SHARE, COMMON, RARE = 8, 4, 8_000
+SHARE, COMMON, RARE = 8, 4, 16_000
 #: Sets of a large cluster, about, that tell what is common inside it.
 GUIDES = 64
 #: Signatures that a task gathers before it sends them, and buckets for each shuffle partition.
 FLUSH, BUCKETS_EACH = 1_000_000, 8
 #: Sets of a cluster that are compared at a time.
 BLOCK = 768
+#: Blocks of a cluster up to which all pairs of them are compared: each set travels so many times at most.
+BLOCKS = 8
 
 
 class Bands:
@@ -375,12 +377,13 @@ def cluster_links(docs: DataFrame, reps: DataFrame, under: DataFrame, comp: Data
     sizes = durable(_open(under))
     wanted = under.join(sizes, "hub", "left_semi").select(F.col("node").alias("fp")).distinct()
     found = _sets(docs, reps, wanted, width, WHOLE)
-    links = _compared(under, sizes.where(F.col("k") <= BLOCK), found, num, den)
-    large = sizes.where(F.col("k") > BLOCK)
+    links = _compared(under, sizes.where(F.col("k") <= BLOCK * BLOCKS), found, num, den)
+    large = sizes.where(F.col("k") > BLOCK * BLOCKS)
     if not large.limit(1).count():
         return links
     met = _signed_anew(under, large, found, Bands(num, den))
-    lists = durable(_unpack_lists(met.where("kind = 2").select("a", "list").dropDuplicates(["a"])).select(F.col("a").alias("hub"), "node").join(c, "node", "left").select("hub", "node", F.coalesce("c", "node").alias("c")))
+    lists = with_hubs(_unpack_lists(met.where("kind = 2").select("a", "list").dropDuplicates(["a"]))).select("hub", "node").distinct()
+    lists = durable(lists.join(c, "node", "left").select("hub", "node", F.coalesce("c", "node").alias("c")))
     some = _compare(docs, reps, durable(met.where("kind = 1").select("a", "b").distinct()), width, num, den, WHOLE)
     return links.unionByName(some).unionByName(_compared(lists, _open(lists), found, num, den)).distinct()
 
@@ -390,7 +393,7 @@ def _signed_anew(under: DataFrame, large: DataFrame, found: DataFrame, bands: Ba
     spark = under.sparkSession
     parts, reach = shuffle_partitions(spark), size_reach(bands.num, bands.den)
     n = parts * BUCKETS_EACH
-    members = under.join(F.broadcast(large), "hub").select("hub", "k", F.col("node").alias("fp"))  # one row for BLOCK classes at most
+    members = under.join(F.broadcast(large), "hub").select("hub", "k", F.col("node").alias("fp"))  # of more than BLOCK * BLOCKS classes each
     members = durable(members.join(found.dropDuplicates(["fp"]), "fp").select("hub", "k", "fp", "u"))
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,6 +132,7 @@ def _passage_in_all(n, r):
 def test_large_clusters_sign_anew(spark, block, monkeypatch):
     """Nothing is known as common beforehand, so all that share the passage are one cluster; its work stays linear and no link is lost."""
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "BLOCKS", 1)
     monkeypatch.setattr(J, "common_shingles", lambda docs, width: np.zeros(0, np.uint64))
     work, compared = [], J._compared
 
