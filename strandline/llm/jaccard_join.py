@@ -17,7 +17,7 @@ band the universe of shingle hashes is divided into segments:
   one-deletion neighbourhood. Of a pair of which one has enough segments above,
   that one's stretch is the shorter, so this serves pairs of two such sets only.
 
-Common shingles are estimated on every eighth document (``SHARE``): those in ``COMMON``
+Common shingles are estimated on every fourth document (``SHARE``): those in ``COMMON``
 of these, or in one of ``RARE`` where that is more, so that they are at most ``RARE``
 times the mean size of a set. The estimate steers cost only, never what is found:
 any choice gives all links.
@@ -58,7 +58,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
-from strandline.llm.joins import id_filter, spread_join
+from strandline.llm.joins import hot_keys, id_filter, spread_join
 from strandline.llm.shingles import mix, shingle_sets
 from strandline.runtime import durable, ship, shuffle_partitions, table, tidy
 
@@ -67,7 +67,7 @@ NUM, DEN = 80, 100
 #: Up to this size, bands grow by the similarity and sign one-deletion neighbourhoods; above, they double.
 SMALL = 64
 #: One of so many documents tells common shingles; a shingle in so many of these, and in one of so many, is common.
-SHARE, COMMON, RARE = 8, 4, 16_000
+SHARE, COMMON, RARE = 4, 4, 32_000
 #: Sets of a large cluster, about, that tell what is common inside it.
 GUIDES = 64
 #: Signatures that a task gathers before it sends them, and buckets for each shuffle partition.
@@ -323,8 +323,8 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     found = _sets(docs, reps, wanted, width, below)
     side = lambda k: found.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("u").alias(f"u{k}"))
-    one = spread_join(pairs, side("a"), "a", F.col("b"))
-    both = spread_join(one, side("b"), "b", F.col("a"), counted=pairs).select("a", "b", "na", "nb", "ua", "ub")
+    hot = hot_keys(pairs.select(F.explode(F.array("a", "b")).alias("fp")))  # of both, so that both joins read one shuffle of sets
+    both = spread_join(spread_join(pairs, side("a"), "a", F.col("b"), hot), side("b"), "b", F.col("a"), hot).select("a", "b", "na", "nb", "ua", "ub")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -404,7 +404,7 @@ def _signed_anew(under: DataFrame, large: DataFrame, found: DataFrame, bands: Ba
     often = guides.select("hub", F.explode("us").alias("x")).groupBy("hub", "x").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     common = members.select("hub").distinct().join(often.groupBy("hub").agg(F.sort_array(F.collect_list("x")).alias("common")), "hub", "left")  # of about GUIDES sets
     common = common.select("hub", F.coalesce("common", F.array().cast("array<bigint>")).alias("common"))
-    signing = spread_join(members.select("hub", "fp", "u"), common, "hub", F.col("fp"))
+    signing = spread_join(members.select("hub", "fp", "u"), common, "hub", F.col("fp"), hot_keys(members.select("hub")))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -479,7 +479,7 @@ def similar_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     groups = groups.join(groups.groupBy("component").agg(F.min("least").alias("first")), "component").select("fp", "first")
     named = least.join(groups, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("first", "least").alias("component_id"))
     full = classes.where("n_shingles > 0").withColumn("_row", F.monotonically_increasing_id())  # of a durable table
-    full = spread_join(full, named.withColumnRenamed("_fp", "fp"), "fp", F.col("_row"))
+    full = spread_join(full, named.withColumnRenamed("_fp", "fp"), "fp", F.col("_row"), hot_keys(full.select("fp")))
     none = classes.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     return full.select("doc_id", "fp", "n_shingles", "component_id").unionByName(none)
 

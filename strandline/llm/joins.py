@@ -46,15 +46,16 @@ def id_filter(ids: DataFrame, most: int = FILTER_BITS) -> Callable[[Column], Col
     return maybe
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, spread: Column, counted: DataFrame | None = None, rows: int = HOT_ROWS) -> DataFrame:
-    """Inner equi-join on ``key``. Keys with many rows in ``big`` are hot: their rows are dealt by ``spread`` to as many
-    tasks as their number asks for, and their rows of ``small`` are repeated as often. ``counted`` (durable) has the keys
-    of ``big`` if that is not durable itself. At most BROADCAST_ROWS keys are hot at any size."""
-    counted = big if counted is None else counted
-    n = counted.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_rows"))
-    each = max(rows, -(-counted.count() // BROADCAST_ROWS))
-    hot = F.broadcast(durable(n.where(F.col("_rows") > each).select("_hot", F.ceil(F.col("_rows") / each).cast("bigint").alias("_deals"))))
-    dealt = lambda d, how: d.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_deal", how(F.coalesce("_deals", F.lit(1).cast("bigint")))).drop("_hot", "_deals")
+def hot_keys(keys: DataFrame, rows: int = HOT_ROWS) -> DataFrame:
+    """Keys of the one column of ``keys`` (durable) that stand there often, and to how many tasks each is to be dealt: at most BROADCAST_ROWS at any size."""
+    each = max(rows, -(-keys.count() // BROADCAST_ROWS))
+    n = keys.groupBy(F.col(keys.columns[0]).alias("_hot")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > each)
+    return durable(n.select("_hot", F.ceil(F.col("_rows") / each).cast("bigint").alias("_deals")))
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, spread: Column, hot: DataFrame) -> DataFrame:
+    """Inner equi-join on ``key``. Rows of ``big`` with a hot key are dealt by ``spread`` to as many tasks as ``hot_keys`` says, and such rows of ``small`` are repeated as often."""
+    dealt = lambda d, how: d.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_deal", how(F.coalesce("_deals", F.lit(1).cast("bigint")))).drop("_hot", "_deals")
     left = dealt(big, lambda m: F.pmod(F.xxhash64(spread), m))
     right = dealt(small, lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), m - 1)))
     return left.join(right, [key, "_deal"]).drop("_deal")

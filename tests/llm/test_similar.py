@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandline.llm import jaccard_join as J
 from strandline.llm import lattice_dedup as L
 from strandline.llm.components import components
-from strandline.llm.joins import id_filter, spread_join
+from strandline.llm.joins import hot_keys, id_filter, spread_join
 from strandline.llm.shingles import shingle_sets
 from strandline.runtime import table
 
@@ -153,9 +153,9 @@ def test_spread_join_is_an_inner_join(spark):
     big = [(0 if r.random() < 0.4 else r.randrange(300), i) for i in range(4000)] + [(None, 1)]
     small = [(k, f"s{k}") for k in range(0, 250)] + [(7, "again")]
     b, s = spark.createDataFrame(big, "k bigint, v bigint"), spark.createDataFrame(small, "k bigint, w string")
-    got = sorted(tuple(x) for x in spread_join(b, s, "k", F.col("v"), rows=50).select("k", "v", "w").collect())
+    got = sorted(tuple(x) for x in spread_join(b, s, "k", F.col("v"), hot_keys(b.select("k"), rows=50)).select("k", "v", "w").collect())
     assert got == sorted((k, v, w) for k, v in big for j, w in small if k == j)
-    assert spread_join(b.limit(0), s, "k", F.col("v")).count() == 0
+    assert spread_join(b.limit(0), s, "k", F.col("v"), hot_keys(b.limit(0).select("k"))).count() == 0
 
 
 def test_id_filter_holds_for_every_id(spark):
