@@ -8,10 +8,14 @@ Bernoulli draw from a seeded hash of its id with the rate's fraction as
 probability. Among ``SEEDS`` hash seeds the one whose draw comes nearest to the
 source's target is used, which one aggregation decides.
 
+Sources are ranked and summed in sorted ranges with an offset for each range, so no
+task sees all of them, however many there are.
+
 Defined cases: null text has size 0; null source is a source of its own and comes
 last; repeated rows are separate documents that draw alike; a source whose
 documents are all empty has target 0 and takes nothing; an empty table gives an
-empty result; null doc_id draws as the empty string; extra columns are ignored.
+empty result; documents without doc_id draw by their text; extra columns, also of
+clashing names, are ignored by ``mix`` and kept by ``resample``.
 """
 
 from __future__ import annotations
@@ -26,31 +30,49 @@ from strandline.runtime import durable, join_small, table
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 SEEDS = 64
-GRAIN = 65536
+GRAIN = 1 << 32
+
+
+def with_draw(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size, ``more`` and two numbers below GRAIN from the md5 of the id, or of the text where that is null."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("text")), F.lit(""))
+    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(name.cast("binary")).alias("m"), *more)
+    part = lambda k: F.conv(F.substring("m", k, 8), 16, 10).cast("bigint")
+    return d.select("doc_id", "source", "size", part(1).alias("a"), part(9).alias("b"), *more)
+
+
+def draw(seed: Column) -> Column:
+    """A whole number in [0, GRAIN): (a + seed * b) mod GRAIN."""
+    return F.pmod(F.col("a") + seed * F.col("b"), F.lit(GRAIN))
+
+
+def _ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` sorted, durable, with _range and _at (place there): each range is a partition."""
+    return durable(df.orderBy(*order)).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
 
 
-def draw(doc_id: Column, seed: Column) -> Column:
-    """A whole number in [0, GRAIN): (a + seed * b) mod GRAIN, with a and b from md5(doc_id)."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
-    part = lambda k: F.conv(F.substring(digest, k, 4), 16, 10).cast("bigint")
-    return F.pmod(part(1) + seed * part(5), F.lit(GRAIN))
+def _before(ranged: DataFrame, name: str, amount: Column) -> DataFrame:
+    """``ranged`` with the sum of ``amount`` over all rows before each."""
+    w = W.partitionBy("_range").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    whole = ranged.groupBy(F.col("_range").alias("_r")).agg(F.sum(amount).alias("_s"))  # a row for each partition
+    base = whole.select("_r", F.coalesce(F.sum("_s").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    d = ranged.join(F.broadcast(base), F.col("_range") == F.col("_r"))
+    return d.withColumn(name, F.col("_base") + F.coalesce(F.sum(amount).over(w), F.lit(0))).drop("_r", "_base")
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """One row per source: source, source_size, weight, target. ``sized`` has source and size."""
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    by = by.withColumn("weight", F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
-    every = W.partitionBy()
-    level = W.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = level.rowsBetween(W.unboundedPreceding, -1)
-    after = level.rowsBetween(0, W.unboundedFollowing)
-    by = by.withColumn("_total", F.sum("source_size").over(every))
+    last = F.col("source").asc_nulls_last()
+    by = _before(_ranges(sized.groupBy("source").agg(F.sum("size").alias("source_size")), last), "_rank", F.lit(1))
+    turn = (F.pmod(F.col("_rank"), F.lit(len(weights))) + 1).cast("int")
+    by = by.select("source", "source_size", F.element_at(F.array(*[F.lit(x) for x in weights]), turn).alias("weight"))
+    by = _ranges(by, F.col("source_size") / F.col("weight"), last)
+    all_ = by.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    by = _before(_before(by, "_full", F.lit(limit) * F.col("source_size")), "_light", F.col("weight"))
     # if all sources before this one stop at their limit, this is the level of the rest
-    by = by.withColumn("_level", (F.col("_total") - F.coalesce(F.sum(F.lit(limit) * F.col("source_size")).over(before), F.lit(0))) / F.sum("weight").over(after))
-    fits = F.when(F.col("_level") * F.col("weight") <= limit * F.col("source_size"), F.col("_level"))
-    by = by.withColumn("_level", F.max(fits).over(every))  # the first that fits; later ones are lower
-    return by.select("source", "source_size", "weight", F.least(F.col("_level") * F.col("weight"), (limit * F.col("source_size")).cast("double")).alias("target"))
+    level = (F.lit(all_["size"]) - F.col("_full")) / (F.lit(all_["weight"]) - F.col("_light"))
+    best = by.select(F.max(F.when(level * F.col("weight") <= limit * F.col("source_size"), level))).first()[0]  # the first that fits; later ones are lower
+    return by.select("source", "source_size", "weight", F.least(F.lit(best).cast("double") * F.col("weight"), (limit * F.col("source_size")).cast("double")).alias("target"))
 
 
 def source_plan(sized: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -59,7 +81,7 @@ def source_plan(sized: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFr
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("whole", F.floor(rate)).withColumn("cut", F.floor((rate - F.floor(rate)) * GRAIN))
     parts = join_small(sized, targets, ["source"], "left")
-    hit = lambda k: F.when(draw(F.col("doc_id"), F.lit(k)) < F.col("cut"), F.col("size")).otherwise(0)
+    hit = lambda k: F.when(draw(F.lit(k)) < F.col("cut"), F.col("size")).otherwise(0)
     tried = parts.groupBy("source", "source_size", "target", "whole", "cut").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"), *[F.sum(hit(k)).alias(f"s{k}") for k in range(SEEDS)])
     miss = lambda k: F.struct(F.abs(F.col("sure") + F.col(f"s{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k"))
     seed = F.array_min(F.array(*[miss(k) for k in range(SEEDS)]))["k"]
@@ -67,12 +89,12 @@ def source_plan(sized: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFr
 
 
 def _copies() -> Column:
-    return (F.col("whole") + F.when(draw(F.col("doc_id"), F.col("seed")) < F.col("cut"), 1).otherwise(0)).cast("bigint")
+    return (F.col("whole") + F.when(draw(F.col("seed")) < F.col("cut"), 1).otherwise(0)).cast("bigint")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for every row of ``docs``."""
-    sized = durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    sized = durable(with_draw(docs))
     out = join_small(sized, source_plan(sized, weights, limit), ["source"], "left")
     return out.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"))
 
@@ -81,12 +103,10 @@ def resample(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, same columns.
 
     Whole rows meet only the small table of sources, so texts are not shuffled."""
-    cols = docs.columns
-    plan = source_plan(durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))), weights, limit)
-    taken = join_small(docs, plan.select("source", *[F.col(c).alias(f"_mix_{c}") for c in ("whole", "cut", "seed")]), ["source"], "left")
-    copies = (F.col("_mix_whole") + F.when(draw(F.col("doc_id"), F.col("_mix_seed")) < F.col("_mix_cut"), 1).otherwise(0)).cast("int")
-    taken = taken.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies)))
-    return taken.select(*[F.col(f"`{c}`") for c in cols])
+    plan = source_plan(durable(with_draw(docs)), weights, limit).select("source", "whole", "cut", "seed")
+    rows = with_draw(docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "row")
+    taken = join_small(rows, plan, ["source"], "left")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +117,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same arithmetic in DuckDB.
 OP4_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, size, CAST('0x' || substr(m, 1, 8) AS BIGINT) AS a, CAST('0x' || substr(m, 9, 8) AS BIGINT) AS b FROM (
+    SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '#' || text, '')) AS m,
+           CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents)),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
@@ -114,10 +136,9 @@ targets AS (
 rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
 plan AS (
-  SELECT source, source_size, target, CAST(floor(rate) AS BIGINT) AS whole, CAST(floor((rate - floor(rate)) * 65536) AS BIGINT) AS cut FROM rates),
+  SELECT source, source_size, target, CAST(floor(rate) AS BIGINT) AS whole, CAST(floor((rate - floor(rate)) * 4294967296) AS BIGINT) AS cut FROM rates),
 draws AS (
-  SELECT d.source, d.doc_id, d.size, k.k,
-         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) AS BIGINT) + k.k * CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 5, 4) AS BIGINT)) % 65536 AS u
+  SELECT d.source, d.doc_id, d.size, k.k, (d.a + k.k * d.b) % 4294967296 AS u
   FROM sized d, range(64) k(k)),
 tried AS (
   SELECT p.source, d.k, abs(CAST(sum(p.whole * d.size + CASE WHEN d.u < p.cut THEN d.size ELSE 0 END) AS BIGINT) - any_value(p.target)) AS miss
