@@ -1,43 +1,55 @@
 """Embedding near-dedup by lattice hashing: E8 cells of random projections, verified by cosine.
 
-In each of ``TABLES`` tables a vector of length 1 is projected to eight Gaussian
-directions, scaled by ``CELL`` and decoded to the nearest point of the E8 lattice.
-It is kept under that cell and asks there and in the ``PROBES`` neighbouring cells
-(of the 240) that are nearest to its projection. Vectors that meet in a cell are
-compared by cosine in double precision, in blocks.
-
-Pairs are counted, not emitted: a pair counts where it meets first, by table and
-cell, which follows from the two vectors alone; each cell gives per-vector counts
-and a spanning forest of its links. Cells with more than ``BLOCK`` rows are split
-into pairs of blocks, each a unit of work of its own, so a common vector neither
-fills one task nor is cut short.
-
-A table finds a pair at cosine 0.95 with probability about 0.65, so eight miss one
-in several thousand; at 0.97 next to none.
+In each table a vector of length 1 is projected to Gaussian directions, eight for
+each of ``blocks`` blocks, scaled by ``CELL``; each block is decoded to the nearest
+point of the E8 lattice, and the points together are the cell. A vector is kept
+under its cell and asks there and in the ``PROBES`` neighbouring cells (one step of
+the 240 in one block) that are nearest to its projection. Vectors that meet in a cell
+are compared by cosine in double precision, in blocks of rows.
+
+``settings`` takes blocks and tables from the number of vectors: as many blocks as keep
+the unrelated vectors that one meets in a table below ``MEET``, and then as many tables
+as miss a pair at the very bound with a chance of ``MISS`` at most. Both chances come
+from a trial with seeded Gaussian pairs. So work grows a little faster than the rows
+(tables: power 0.1), not with their square.
+
+Equal vectors are one class from the start and count as many times as they stand. Cells
+are asked with ids alone; vectors travel only to cells where two classes meet. Pairs
+are counted, not emitted: a pair counts where it meets first, by table and cell,
+which follows from the two vectors alone; each cell gives per-class counts and a
+spanning forest of its links. Cells with more than ``BLOCK`` classes are split into
+pairs of blocks, each a unit of work of its own, so a common vector neither fills one
+task nor is cut short.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components link with nothing, and neither do vectors of different dimension or
-with a null vec_id; rows that repeat a vec_id are one vector (the least by
-components); an empty table gives an empty result; extra columns are ignored.
+components link with nothing, and neither do vectors of different dimension. Every row
+is a vector of its own: rows that repeat a vec_id link like any others. A null vec_id
+never names a component; one of only such has a null component_id, and the row is kept
+if nothing else is in it. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
+from strandline.llm.joins import hot_keys, spread_join
 from strandline.llm.shingles import mix
-from strandline.runtime import BROADCAST_ROWS, durable, ship, shuffle_partitions, table
+from strandline.runtime import durable, ship, shuffle_partitions, table, tidy
 
 COSINE = 0.95
-TABLES, PROBES, CELL = 8, 2, 1.5
+PROBES, CELL = 4, 1.8
+#: Unrelated vectors that one may meet in a table, about, and the chance to miss a pair at the bound.
+MEET, MISS = 16, 0.002
 BLOCK = 1024
 
 
@@ -74,23 +86,47 @@ def decode(x: np.ndarray) -> np.ndarray:
 
 def _key(points: np.ndarray, table_: int) -> np.ndarray:
     h = np.full(points.shape[:-1], table_ + 1, np.uint64)
-    for k in range(8):
+    for k in range(points.shape[-1]):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.rint(points[..., k] * 2).astype(np.int64).view(np.uint64))
     return h.view(np.int64)
 
 
-def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, cell: float = CELL) -> np.ndarray:
+def _near(x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """[n, blocks, 8] lattice points of projections, and [n, 1 + probes, blocks, 8] with the nearest neighbours in one block each."""
+    n, blocks = x.shape[:2]
+    own = decode(x.reshape(-1, 8)).reshape(x.shape)
+    far = -((x - own).reshape(-1, 1, 8) * ROOTS).sum(2).reshape(n, blocks * len(ROOTS))  # all roots have the same length
+    out = np.repeat(own[:, None], 1 + probes, axis=1)
+    for k in range(1, 1 + probes):
+        at = far.argmin(1)
+        far[np.arange(n), at] = np.inf
+        out[np.arange(n), k, at // len(ROOTS)] += ROOTS[at % len(ROOTS)]
+    return own, out
+
+
+@functools.cache
+def settings(n: int, cosine: float = COSINE, probes: int = PROBES, cell: float = CELL) -> tuple[int, int]:
+    """(blocks, tables) for ``n`` vectors."""
+    r = np.random.default_rng(5)
+    for blocks in range(1, 9):
+        x, z, w = (r.normal(size=(2000, blocks, 8)) for _ in range(3))
+        (a, near_a), (b, near_b) = _near(x / cell, probes), _near((cosine * x + math.sqrt(1 - cosine**2) * z) / cell, probes)
+        found = ((near_a == b[:, None]).all((2, 3)).any(1) | (near_b == a[:, None]).all((2, 3)).any(1)).mean()
+        _, times = np.unique(decode(w.reshape(-1, 8)), axis=0, return_counts=True)
+        alike = (times * (times - 1.0)).sum() / (times.sum() * (times.sum() - 1.0))  # two unrelated vectors, one block
+        if n * alike**blocks * (1 + 2 * probes) <= MEET or blocks == 8:
+            return blocks, max(1, math.ceil(math.log(MISS) / math.log(1 - min(max(found, 0.01), 0.999))))
+
+
+def cells(unit: np.ndarray, blocks: int, tables: int, probes: int = PROBES, cell: float = CELL) -> np.ndarray:
     """[vector, table, 1 + probes] cell keys, the own cell first. The same for a vector in any company."""
     out = np.empty((len(unit), tables, 1 + probes), np.int64)
     for t in range(tables):
-        dirs = np.random.default_rng([unit.shape[1], t]).normal(size=(8, unit.shape[1])) / cell
-        x = np.stack([(unit * d).sum(1) for d in dirs], axis=1)  # sums by row, not by blocks of rows
-        own = decode(x)
-        rest = x - own
-        far = 2.0 - 2 * np.stack([(rest * r).sum(1) for r in ROOTS], axis=1)  # all roots have length 2
-        order = np.argsort(far, axis=1, kind="stable")[:, :probes]
-        out[:, t, 0] = _key(own, t)
-        out[:, t, 1:] = _key(own[:, None, :] + ROOTS[order], t)
+        dirs = np.random.default_rng([unit.shape[1], t]).normal(size=(8 * blocks, unit.shape[1])) / cell
+        for lo in range(0, len(unit), 256):
+            some = unit[lo : lo + 256]
+            x = np.stack([(some * d).sum(1) for d in dirs], axis=1)  # sums by row, not by blocks of rows
+            out[lo : lo + 256, t] = _key(_near(x.reshape(len(some), blocks, 8), probes)[1].reshape(len(some), 1 + probes, -1), t)
     return out
 
 
@@ -100,13 +136,13 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def usable(df: DataFrame) -> DataFrame:
-    """One row for each vec_id with a vector that can link."""
-    some = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    return df.where(F.col("vec_id").isNotNull() & some)
+def usable() -> Column:
+    """Whether ``embedding`` can link."""
+    return F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
-def _ask(batches: Iterator[pa.RecordBatch], tables: int, probes: int, cell: float) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], *how) -> Iterator[pa.RecordBatch]:
+    """cell, whether the class is kept there, class."""
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         lists = b.column(1)
@@ -115,14 +151,9 @@ def _ask(batches: Iterator[pa.RecordBatch], tables: int, probes: int, cell: floa
             at = np.flatnonzero(dims == d)
             raw = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             for lo in range(0, len(at), 2048):
-                x = raw[lo : lo + 2048]
-                c = cells(units(x), tables, probes, cell)
-                n, per = len(x), tables * (1 + probes)
-                who = np.repeat(np.arange(n), per)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.reshape(-1)), pa.array(np.tile(np.tile(np.arange(1 + probes) == 0, tables), n)), pa.array(ids[at[lo : lo + 2048]][who]), pa.array([v.tobytes() for v in x.astype(np.float64)], pa.binary()).take(pa.array(who))],
-                    ["cell", "own", "vec_id", "v"],
-                )
+                c = cells(units(raw[lo : lo + 2048]), *how)
+                n, tables, per = c.shape
+                yield pa.RecordBatch.from_arrays([pa.array(c.reshape(-1)), pa.array(np.tile(np.arange(per) == 0, n * tables)), pa.array(np.repeat(ids[at[lo : lo + 2048]], tables * per))], ["cell", "own", "cid"])
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +189,7 @@ class _Seen:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], cosine: float, *how) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell and unit of work: (vec_id, null, links counted here) and (vec_id, vec_id linked, 0)."""
+    """Rows sorted by cell and unit of work: (class, null, rows linked, counted here) and (class, class linked, 0)."""
     held: list[tuple] = []
     key, seen = None, _Seen(*how)
 
@@ -169,14 +200,14 @@ def _compare(batches: Iterator[pa.RecordBatch], cosine: float, *how) -> Iterator
         own = np.array([h[0] for h in held])
         if len(held) < 2 or not own.any():
             return
-        ids, side = np.array([h[1] for h in held], np.int64), np.array([h[3] for h in held])
+        ids, times, side = (np.array([h[k] for h in held], np.int64) for k in (1, 2, 3))
         by_len: dict[int, list[int]] = {}
         for k, h in enumerate(held):
-            by_len.setdefault(len(h[2]), []).append(k)
+            by_len.setdefault(len(h[4]), []).append(k)
         for some in by_len.values():
             at = np.array(some)
-            unit = units(np.stack([np.frombuffer(held[k][2]) for k in some]))
-            mine, i_, s_ = own[at], ids[at], side[at]
+            unit = units(np.stack([np.asarray(held[k][4], np.float64) for k in some]))
+            mine, i_, s_, m_ = own[at], ids[at], side[at], times[at]
             stay = np.flatnonzero(mine)
             found = []
             for lo in range(0, len(stay), 512):
@@ -194,19 +225,24 @@ def _compare(batches: Iterator[pa.RecordBatch], cosine: float, *how) -> Iterator
             used, back = np.unique(np.concatenate([a, b]), return_inverse=True)
             x, y = back[: len(a)], back[len(a) :]
             first = _first_here(seen.of(i_[used], unit[used]), x, y, key[0])
-            counts = np.bincount(np.concatenate([x[first], y[first]]), minlength=len(used))
+            m = m_[used]
+            counts = np.zeros(len(used), np.int64)
+            np.add.at(counts, x[first], m[y[first]])
+            np.add.at(counts, y[first], m[x[first]])
             p, q = _forest(x, y, len(used))
             name = i_[used]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([name, name[p]])), pa.array(np.concatenate([np.zeros(len(name), np.int64), name[q]]), mask=np.arange(len(name) + len(p)) < len(name)), pa.array(np.concatenate([counts, np.zeros(len(p), np.int64)]))], ["vec_id", "other", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([name, name[p]])), pa.array(np.concatenate([np.zeros(len(name), np.int64), name[q]]), mask=np.arange(len(name) + len(p)) < len(name)), pa.array(np.concatenate([counts, np.zeros(len(p), np.int64)]))], ["cid", "other", "n"])
 
     for b in batches:
-        cols = [b.column(k).to_pylist() for k in range(6)]
-        for cell, lo, hi, own, vec_id, (side, v) in zip(*cols[:5], zip(b.column(6).to_pylist(), cols[5], strict=True), strict=True):
-            if (cell, lo, hi) != key:
+        cell, lo, hi, own, cid, times, side = (b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+        lists = b.column(7)
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        for i, now in enumerate(zip(cell.tolist(), lo.tolist(), hi.tolist(), strict=True)):
+            if now != key:
                 if held:
                     yield from close()
-                key, held = (cell, lo, hi), []
-            held.append((own, vec_id, v, side))
+                key, held = now, []
+            held.append((own[i], cid[i], times[i], side[i], flat[ends[i] : ends[i + 1]]))
     if held:
         yield from close()
 
@@ -224,29 +260,35 @@ def _first_here(c: np.ndarray, x: np.ndarray, y: np.ndarray, cell: int) -> np.nd
     return done & (best == cell)
 
 
-def near_duplicates(df: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, cell: float = CELL) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row for each vec_id."""
+def near_duplicates(df: DataFrame, cosine: float = COSINE, blocks: int | None = None, tables: int | None = None, probes: int = PROBES, cell: float = CELL) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row for each row of ``df``."""
     spark = df.sparkSession
     ship(spark)
-    how = (tables, probes, cell)
     every = df.select("vec_id", "embedding")
-    vectors = usable(every).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = vectors.mapInArrow(lambda b: _ask(b, *how), "cell bigint, own boolean, vec_id bigint, v binary")
-    asked = durable(asked)
-    sizes = asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("_any")).where("n > 1 and _any")
-    sizes = durable(sizes.select(F.col("cell").alias("_cell"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks")))
-    small = sizes.count() <= BROADCAST_ROWS
-    met = asked.join(F.broadcast(sizes) if small else sizes, F.col("cell") == F.col("_cell"))
-    met = met.withColumn("side", F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).cast("int"))
-    met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    met = met.select("cell", F.least("side", "_other").alias("lo"), F.greatest("side", "_other").alias("hi"), "own", "vec_id", "v", "side")
-    met = met.repartition(shuffle_partitions(spark), "cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "vec_id")
-    found = durable(met.mapInArrow(lambda b: _compare(b, cosine, *how), "vec_id bigint, other bigint, n bigint"))
-    links = found.where("other is null").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    comp = components(found.where("other is not null").select("vec_id", "other"), "vec_id", "other")
-    out = every.select("vec_id").distinct().join(links, "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    can = usable()
+    classes = durable(every.where(can).groupBy("embedding").agg(F.count("*").alias("times"), F.min("vec_id").alias("least")))
+    classes = classes.withColumn("cid", F.monotonically_increasing_id())  # of a durable table
+    own = settings(1 << max(0, classes.count() - 1).bit_length(), cosine, probes, cell)
+    how = (blocks or own[0], tables or own[1], probes, cell)
+    asked = durable(classes.select("cid", "embedding").mapInArrow(lambda b: tidy(_ask(b, *how)), "cell bigint, own boolean, cid bigint"))
+    sizes = asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("pieces"))
+    met = spread_join(asked, sizes, "cell", F.col("cid"), hot_keys(asked.select("cell"), rows=BLOCK))
+    met = met.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    met = met.select("cell", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "own", "cid", "side")
+    met = met.join(classes.select("cid", "times", "embedding"), "cid").select("cell", "lo", "hi", "own", "cid", "times", "side", "embedding")
+    met = met.repartition(shuffle_partitions(spark), "cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "cid")
+    found = durable(met.mapInArrow(lambda b: tidy(_compare(b, cosine, *how)), "cid bigint, other bigint, n bigint"))
+    links = found.where("other is null").groupBy("cid").agg(F.sum("n").alias("n"))
+    comp = components(found.where("other is not null").select("cid", "other"), "cid", "other").withColumnRenamed("node", "cid")
+    named = classes.select("cid", "times", "least", F.xxhash64("embedding").alias("key"), F.col("embedding").alias("same")).join(links, "cid", "left").join(comp, "cid", "left")
+    named = named.withColumn("component", F.coalesce("component", "cid"))
+    first = named.groupBy("component").agg(F.min("least").alias("first"), F.sum("times").alias("all"))
+    named = named.join(first, "component").select("key", "same", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.col("first").alias("component_id"), "all")
+    rows = every.withColumn("row", F.monotonically_increasing_id()).where(can).withColumn("key", F.xxhash64("embedding"))
+    linked = spread_join(rows, named, "key", F.col("row"), hot_keys(durable(rows.select("key")))).where(F.col("embedding") == F.col("same"))
+    linked = linked.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("all") == 1).alias("kept"))
+    alone = every.where(~can).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
 
 
 def op6_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
