@@ -51,6 +51,8 @@ PROBES, CELL = 4, 1.8
 #: Unrelated vectors that one may meet in a table, about, and the chance to miss a pair at the bound.
 MEET, MISS = 16, 0.002
 BLOCK = 1024
+#: Vectors whose cells are found at a time.
+BATCH = 128
 
 
 def roots() -> np.ndarray:
@@ -95,7 +97,7 @@ def _near(x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """[n, blocks, 8] lattice points of projections, and [n, 1 + probes, blocks, 8] with the nearest neighbours in one block each."""
     n, blocks = x.shape[:2]
     own = decode(x.reshape(-1, 8)).reshape(x.shape)
-    far = -((x - own).reshape(-1, 1, 8) * ROOTS).sum(2).reshape(n, blocks * len(ROOTS))  # all roots have the same length
+    far = -((x - own).reshape(-1, 8) @ ROOTS.T).reshape(n, blocks * len(ROOTS))  # all roots have the same length
     out = np.repeat(own[:, None], 1 + probes, axis=1)
     for k in range(1, 1 + probes):
         at = far.argmin(1)
@@ -108,7 +110,7 @@ def _near(x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
 def settings(n: int, cosine: float = COSINE, probes: int = PROBES, cell: float = CELL) -> tuple[int, int]:
     """(blocks, tables) for ``n`` vectors."""
     r = np.random.default_rng(5)
-    for blocks in range(1, 9):
+    for blocks in range(2, 9):
         x, z, w = (r.normal(size=(2000, blocks, 8)) for _ in range(3))
         (a, near_a), (b, near_b) = _near(x / cell, probes), _near((cosine * x + math.sqrt(1 - cosine**2) * z) / cell, probes)
         found = ((near_a == b[:, None]).all((2, 3)).any(1) | (near_b == a[:, None]).all((2, 3)).any(1)).mean()
@@ -120,14 +122,16 @@ def settings(n: int, cosine: float = COSINE, probes: int = PROBES, cell: float =
 
 def cells(unit: np.ndarray, blocks: int, tables: int, probes: int = PROBES, cell: float = CELL) -> np.ndarray:
     """[vector, table, 1 + probes] cell keys, the own cell first. The same for a vector in any company."""
-    out = np.empty((len(unit), tables, 1 + probes), np.int64)
+    n = len(unit)
+    rows = -(-len(unit) // BATCH) * BATCH  # products of one shape, so that a row's sums do not depend on how many there are
+    unit = np.concatenate([unit, np.zeros((rows - len(unit), unit.shape[1]))]) if rows > len(unit) else unit
+    out = np.empty((rows, tables, 1 + probes), np.int64)
     for t in range(tables):
-        dirs = np.random.default_rng([unit.shape[1], t]).normal(size=(8 * blocks, unit.shape[1])) / cell
-        for lo in range(0, len(unit), 256):
-            some = unit[lo : lo + 256]
-            x = np.stack([(some * d).sum(1) for d in dirs], axis=1)  # sums by row, not by blocks of rows
-            out[lo : lo + 256, t] = _key(_near(x.reshape(len(some), blocks, 8), probes)[1].reshape(len(some), 1 + probes, -1), t)
-    return out
+        dirs = np.random.default_rng([unit.shape[1], t]).normal(size=(8 * blocks, unit.shape[1])).T / cell
+        for lo in range(0, rows, BATCH):
+            x = (unit[lo : lo + BATCH] @ dirs).reshape(BATCH, blocks, 8)
+            out[lo : lo + BATCH, t] = _key(_near(x, probes)[1].reshape(BATCH, 1 + probes, -1), t)
+    return out[:n]
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -280,10 +284,11 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, blocks: int | None =
     found = durable(met.mapInArrow(lambda b: tidy(_compare(b, cosine, *how)), "cid bigint, other bigint, n bigint"))
     links = found.where("other is null").groupBy("cid").agg(F.sum("n").alias("n"))
     comp = components(found.where("other is not null").select("cid", "other"), "cid", "other").withColumnRenamed("node", "cid")
-    named = classes.select("cid", "times", "least", F.xxhash64("embedding").alias("key"), F.col("embedding").alias("same")).join(links, "cid", "left").join(comp, "cid", "left")
-    named = named.withColumn("component", F.coalesce("component", "cid"))
+    named = durable(classes.select("cid", "times", "least").join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     first = named.groupBy("component").agg(F.min("least").alias("first"), F.sum("times").alias("all"))
-    named = named.join(first, "component").select("key", "same", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.col("first").alias("component_id"), "all")
+    named = spread_join(named, first, "component", F.col("cid"), hot_keys(named.select("component"))).join(links, "cid", "left")
+    named = named.join(classes.select("cid", F.xxhash64("embedding").alias("key"), F.col("embedding").alias("same")), "cid")
+    named = named.select("key", "same", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.col("first").alias("component_id"), "all")
     rows = every.withColumn("row", F.monotonically_increasing_id()).where(can).withColumn("key", F.xxhash64("embedding"))
     linked = spread_join(rows, named, "key", F.col("row"), hot_keys(durable(rows.select("key")))).where(F.col("embedding") == F.col("same"))
     linked = linked.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("all") == 1).alias("kept"))
