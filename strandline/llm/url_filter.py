@@ -1,17 +1,19 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs before an exact hash join.
 
-A rule is ``host/path``: it fits its host and all subdomains of it, if the URL's
-path starts with the rule's. Of the rules that fit, the longest decides. A URL has
-as candidate keys every dot-bounded suffix of its host with every prefix of its
-path whose length some rule has, so a rule fits exactly if its text is one of the
-candidates. Candidates are looked up in the Bloom filter; the few that pass meet
-the list in an exact equi-join, which removes false positives.
-
-The filter has 512-bit blocks: one hash picks the block, eight others the bits, so
-a look-up touches one cache line. It is built by OR-ing blocks in executors, a row
-for each block; it is sent to the executors while its bits are within
-``FILTER_BYTES``, beyond that the candidates go straight to the exact join, whose
-result is the same.
+A rule is ``host/path``, given as such or as a URL, which is made canonical first
+(scheme, query and fragment go, the host is lower-cased). It fits its host and all
+subdomains of it, if the URL's path starts with the rule's. Of the rules that fit, the
+longest decides. Hosts come first: every dot-bounded suffix of a URL's host is looked
+up among the listed hosts; then, with only those path lengths that rules of that host
+have, host and path prefix are looked up among the rules. Each look-up tests distinct
+texts by the Bloom filter; the few that pass meet the list in an exact equi-join, which
+removes false positives.
+
+The filter has 512-bit blocks: one hash picks the block, others the bits, so a look-up
+touches one block. It is a table with a row for each block, built by OR-ing bits with
+map-side combine, and candidates meet it by block: the blocks are broadcast while they
+are ``BROADCAST_ROWS`` at most, beyond that both sides are dealt by block. Only the join
+strategy differs; there is no list too long for the filter. All of it is JVM functions.
 
 Defined cases: null URLs and those without ``://`` have an empty host and path,
 fit no rule and are allowed; repeated rows are judged alike; of rules with equal
@@ -22,20 +24,14 @@ null or repeat.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.runtime import BROADCAST_ROWS, durable, ship, table
+from strandline.runtime import BROADCAST_ROWS, durable, join_small, table
 
 #: The contract's rules (fixed values): verdict, host and path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-BLOCK_BITS, HASHES, BITS_PER_KEY = 512, 8, 16
-FILTER_BYTES = 64 << 20
+BLOCK_BITS, HASHES, BITS_PER_KEY = 512, 7, 16
 A_TO_Z, a_to_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,68 +50,56 @@ def canonical(url: Column) -> Column:
     return F.concat(host, F.regexp_extract(rest, r"^[^/]*(.*)$", 1))
 
 
-def _bits(h: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each 64-bit hash, and its HASHES bits inside the block."""
-    h = h.astype(np.uint64)
-    block = (h >> np.uint64(32)) % np.uint64(n_blocks)
-    low, odd = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(17)) | np.uint64(1)
-    k = np.arange(HASHES, dtype=np.uint64)[:, None]
-    mixed = (low + k * odd) * np.uint64(0x9E3779B97F4A7C15)
-    return block.astype(np.int64), (mixed >> np.uint64(55)).astype(np.int64)
+def _place(key: Column, n_blocks: int) -> tuple[Column, list[Column]]:
+    """Block of a text and its HASHES bits inside the block: nine bits each of a second hash."""
+    h = F.xxhash64(key)
+    bits = F.xxhash64(h)
+    return F.pmod(F.shiftrightunsigned(h, 32), F.lit(n_blocks)), [F.shiftrightunsigned(bits, 9 * k).bitwiseAND(F.lit(BLOCK_BITS - 1).cast("bigint")) for k in range(HASHES)]
 
 
-def build_filter(rules: DataFrame, n_keys: int) -> np.ndarray:
-    """Bytes of the blocked filter over the hashes of ``rules.key``: one row per block from the executors."""
+def build_filter(keys: DataFrame, name: str, n_keys: int) -> tuple[DataFrame, int]:
+    """The blocked filter over the texts of a column: rows (block, w0 to w7), durable, and the number of blocks."""
     n_blocks = max(1, -(-n_keys * BITS_PER_KEY // BLOCK_BITS))
+    block, bits = _place(F.col(name), n_blocks)
+    at = keys.select(block.alias("block"), F.explode(F.array(*bits)).alias("at"))
+    word = lambda k: F.bit_or(F.when(F.shiftright("at", 6) == k, F.expr("shiftleft(1L, cast(at & 63 as int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{k}")
+    return durable(at.groupBy("block").agg(*[word(k) for k in range(8)])), n_blocks
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            block, bits = _bits(b.column(0).to_numpy(zero_copy_only=False), n_blocks)
-            which, at = np.unique(block, return_inverse=True)
-            mask = np.zeros((len(which), BLOCK_BITS), bool)
-            mask[at, bits] = True
-            packed = np.packbits(mask, axis=1, bitorder="little").view("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(which), *(pa.array(packed[:, k]) for k in range(8))], ["block", *(f"w{k}" for k in range(8))])
 
-    got = rules.select(F.xxhash64("key").alias("h")).mapInArrow(blocks, "block bigint, " + ", ".join(f"w{k} bigint" for k in range(8)))
-    got = got.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(8)]).toArrow()  # at most n_blocks rows
-    out = np.zeros((n_blocks, 8), "<i8")
-    if got.num_rows:
-        out[got.column("block").to_numpy()] = np.stack([got.column(f"w{k}").to_numpy() for k in range(8)], axis=1)
-    return out.view(np.uint8).reshape(n_blocks, 64)
+def maybe_in(texts: DataFrame, name: str, filter_: tuple[DataFrame, int]) -> DataFrame:
+    """Rows of ``texts`` (one column) that the filter does not rule out."""
+    rows, n_blocks = filter_
+    block, bits = _place(F.col(name), n_blocks)
+    met = texts.withColumn("block", block).join(F.broadcast(rows) if n_blocks <= BROADCAST_ROWS else rows, "block")
+    words = F.array(*[F.col(f"w{k}") for k in range(8)])
+    ok = F.lit(True)
+    for at in bits:
+        word = F.element_at(words, (F.shiftright(at, 6) + 1).cast("int"))
+        ok = ok & (F.call_function("shiftright", word, at.bitwiseAND(F.lit(63).cast("bigint")).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    return met.where(ok).select(name)
 
 
-def maybe_in(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    block, bits = _bits(h, len(filter_))
-    ok = np.ones(len(h), bool)
-    for b in bits:
-        ok &= (filter_[block, b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
-    return ok
+def look_up(candidates: DataFrame, name: str, listed: DataFrame) -> DataFrame:
+    """``candidates`` joined with ``listed`` (durable) on the text ``name``: distinct texts pass the filter, then an exact join."""
+    some = maybe_in(candidates.select(name).distinct(), name, build_filter(listed, name, listed.count()))
+    found = durable(some.join(listed, name))
+    return join_small(candidates, found, [name])
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """page_id, host, path, rule, verdict for every row. ``rules`` has key (``host/path``) and verdict."""
-    spark = pages.sparkSession
-    ship(spark)
-    rules = durable(rules.where("key is not null").groupBy("key").agg(F.max("verdict").alias("verdict")))  # block > allow
-    n = rules.count()
-    lengths = [r[0] for r in rules.select(F.expr("length(key) - locate('/', key) + 1").alias("n")).distinct().collect()]  # of paths
-    # distinct URLs are judged once each; the keys of the join are host and path
+    """page_id, host, path, rule, verdict for every row. ``rules`` has key (``host/path`` or a URL) and verdict."""
+    named = rules.where("key is not null").select(canonical(F.col("key")).alias("key"), "verdict").where("key != ''")
+    rules = durable(named.groupBy("key").agg(F.max("verdict").alias("verdict")))  # block > allow
+    host = F.regexp_extract("key", r"^([^/]*)", 1)
+    hosts = durable(rules.select(host.alias("suffix"), (F.length("key") - F.length(host)).alias("n")).groupBy("suffix").agg(F.array_sort(F.collect_set("n")).alias("lengths")))
     urls = durable(with_host_path(pages.select("page_id", "url")).select("page_id", "host", "path"))
-    places = urls.select("host", "path").distinct()
     labels_ = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels_)), lambda i: F.array_join(F.slice(labels_, i, F.size(labels_)), "."))
-    prefixes = F.transform(F.filter(F.array(*[F.lit(x) for x in sorted(lengths)]).cast("array<int>"), lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
-    cand = places.where("host != ''").withColumn("_s", F.explode(suffixes)).withColumn("_p", F.explode(prefixes)).select("host", "path", F.concat("_s", "_p").alias("key"))
-    if n * BITS_PER_KEY // 8 <= FILTER_BYTES:
-        sent = spark.sparkContext.broadcast(build_filter(rules, n))
-
-        @F.pandas_udf("boolean")
-        def listed(h: pd.Series) -> pd.Series:
-            return pd.Series(maybe_in(sent.value, h.to_numpy()))
-
-        cand = cand.where(listed(F.xxhash64("key")))
-    hits = cand.join(F.broadcast(rules) if n <= BROADCAST_ROWS else rules, "key")
+    places = urls.where("host != ''").select("host", "path").distinct().withColumn("suffix", F.explode(F.array_distinct(suffixes)))
+    met = look_up(durable(places), "suffix", hosts)
+    prefixes = F.transform(F.filter("lengths", lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
+    keys = durable(met.withColumn("prefix", F.explode(prefixes)).select("host", "path", F.concat("suffix", "prefix").alias("key")))
+    hits = look_up(keys, "key", rules)
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("_best"))
     best = best.select(F.col("host").alias("_h"), F.col("path").alias("_q"), "_best")
     out = urls.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_q")), "left")
