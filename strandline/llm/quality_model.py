@@ -6,9 +6,10 @@ to length 1 if it is not short, and two numbers on how much it repeats itself. O
 passages: a = softmax over the bag of w . (tanh(h V) * sigmoid(h U)), and the
 score of the document is the logistic of c . sum(a h) + d. All weights are
 learned together from document labels, by Adam on a bounded sample
-(``PER_CLASS`` documents of each class); the intercept then moves to the class
-shares of all rows that may be learned from. Scoring takes every passage of every
-whole text, with no cap, in one narrow pass.
+(``PER_CLASS`` documents of each class, of each ``FIT_PASSAGES`` passages at most, evenly
+spaced: 200 MB in the worst case); the intercept then moves to the class shares of all
+rows that may be learned from. Scoring takes every passage of every whole text, with
+no cap, in one narrow pass.
 
 Defined cases: null and empty text is one passage without trigrams and gets a
 score like any other; repeated rows score alike; without labels of both classes
@@ -35,7 +36,7 @@ BITS = 10
 #: Trigrams from which on a passage counts as full.
 FULL = 300
 HIDDEN, GATE = 24, 12
-PER_CLASS = 1_500
+PER_CLASS, FIT_PASSAGES = 1_500, 32
 EPOCHS, BAGS = 12, 32
 MOD, HELD = 4, 2
 THRESHOLD = 0.7
@@ -152,7 +153,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for first, x in passages(b.column(0).to_pylist()):
             x = np.minimum(x, 65535).astype("<u2")
-            rows += [x[a:z].tobytes() for a, z in zip(first, first[1:], strict=False)]
+            for a, z in zip(first.tolist(), first[1:].tolist(), strict=False):
+                some = np.linspace(a, z - 1, min(z - a, FIT_PASSAGES)).round().astype(int)
+                rows.append(x[some].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1)], ["bag", "label"])
 
 

@@ -35,8 +35,8 @@ SHARDS = 8
 #: Bits by which the whole, then an open range is divided.
 FIRST, FAN = 12, 8
 TOP = 1 << 64
-#: Pieces in which the rows of a shard are numbered.
-PIECES = 512
+#: Pieces in which the rows of a shard are numbered: for so many rows each, at least and at most so many.
+PIECE_ROWS, PIECES = 50_000, (512, 4096)
 
 
 def _walk(ends: list[int], sums: list[int], cap: int, shards: int) -> list[int] | None:
@@ -109,8 +109,10 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     at = F.lit(0)
     for c in cuts:
         at = at + (place >= F.lit(c - flip).cast("bigint")).cast("int")
-    placed = sized.withColumn("shard", at.cast("int")).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)))
-    counts = placed.groupBy("shard", "piece").agg(F.count("*").alias("n"))  # at most shards * PIECES rows
+    pieces = min(max(PIECES[0], sized.count() // PIECE_ROWS), PIECES[1])
+    some = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))  # of a durable table
+    placed = sized.withColumn("shard", at.cast("int")).withColumn("piece", F.pmod(some, F.lit(pieces)))
+    counts = placed.groupBy("shard", "piece").agg(F.count("*").alias("n"))  # at most shards * 4096 rows
     before = W.partitionBy("shard").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(F.col("shard").alias("_s"), F.col("piece").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = W.partitionBy("shard", "piece").orderBy("doc_id", "text_crc32")

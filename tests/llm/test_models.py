@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import quality_model, toxicity
+from strandline.llm.chars import labelled_sample
 from strandline.runtime import table
 
 SF = "/root/testdata/sf0.1"
@@ -87,3 +91,84 @@ def test_gradient_is_the_slope(monkeypatch):
         down = loss()
         m.p[k][at] += 1e-5
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-5
+
+
+def _hash(gram, n, bits):
+    h = 0x9E3779B1 * n & 0xFFFFFFFF
+    for c in gram:
+        h = (h * 0x85EBCA6B + ord(c)) & 0xFFFFFFFF
+        h ^= h >> 13
+    return (h * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - bits)
+
+
+def _attended(p, text):
+    """The score of one text from its passages, one number at a time."""
+    text = text or ""
+    passages = [text[i : i + 512] for i in range(0, len(text), 512)] or [""]
+    hidden, says = [], []
+    for q in passages:
+        counts = Counter(_hash(q[i : i + 3], 3, quality_model.BITS) for i in range(len(q) - 2))
+        full = max(sum(counts.values()), quality_model.FULL)
+        x = np.zeros((1 << quality_model.BITS) + 2)
+        for g, c in counts.items():
+            x[g] = math.sqrt(c / full)
+        x[-2], x[-1] = sum(max(c - 2, 0) for c in counts.values()) / full, math.sqrt(sum(c * c for c in counts.values())) / full
+        h = np.tanh(x @ p["E"] + p["e"])
+        gate = 1 / (1 + np.exp(-(h @ p["U"])))
+        hidden.append(h)
+        says.append(float((np.tanh(h @ p["V"]) * gate) @ p["w"]))
+    weight = np.exp(np.array(says) - max(says))
+    z = sum(w * h for w, h in zip(weight / weight.sum(), hidden))
+    return 1 / (1 + math.exp(-(float(z @ p["c"]) + float(p["d"][0]))))
+
+
+def test_quality_scores_from_single_passages(spark, awkward):
+    sf = "/root/testdata/sf0.001"
+    m = quality_model.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    for docs in (table(spark, sf, "documents"), awkward):
+        texts = {(r["doc_id"], r["text"]) for r in docs.collect()}
+        got = docs.join(quality_model.score(docs, m).withColumnRenamed("doc_id", "_d"), docs["doc_id"].eqNullSafe(F.col("_d"))).select("doc_id", "text", "score").collect()
+        assert len(got) >= len(texts)
+        for r in got:
+            assert abs(r["score"] - _attended(m.p, r["text"])) < 1e-4
+
+
+def test_fitting_takes_a_bounded_number_of_passages(spark):
+    rows = [(i, ("word%d " % (i % 7)) * (20_000 if i < 2 else 30), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in rows]), pa.array([y for *_, y in rows], pa.int32())], ["text", "label"])
+    bags = next(quality_model._bags(iter([batch]))).column(0).to_pylist()
+    assert max(map(len, bags)) == 2 * quality_model.FIT_PASSAGES << quality_model.BITS
+    assert docs.count() == len(bags)
+
+
+def _features(text):
+    t = " " + text.lower() + " " if text else ""
+    return {_hash(t[i : i + n], n, toxicity.BITS) for n in toxicity.SIZES for i in range(len(t) - n + 1)}
+
+
+def test_toxicity_from_plain_counts_and_sums(spark, awkward):
+    """Feature counts, ratios and the choice of features from sets and dicts; scores as sums of weights."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    m = toxicity.fit(docs, labels)
+    sample, counts = labelled_sample(docs, labels, "toxic", toxicity.MOD, toxicity.HELD, toxicity.PER_CLASS)
+    usable = [r for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    assert counts == Counter(r["toxic"] for r in usable)
+    rows = [(_features(r["text"] or ""), r["_label"]) for r in sample.collect()]
+    assert len(rows) == len({r["doc_id"] for r in usable})
+    n = [Counter(), Counter()]
+    for feats, y in rows:
+        n[y].update(feats)
+    total, size = [c.total() for c in n], 1 << toxicity.BITS
+    often = sorted(f for f in n[0] | n[1] if n[0][f] + n[1][f] >= toxicity.MIN_DOCS)
+    ratio = {f: math.log((n[1][f] + 1) / (total[1] + size)) - math.log((n[0][f] + 1) / (total[0] + size)) for f in often}
+    middle = float(np.median(list(ratio.values())))
+    sure = {f: math.sqrt(1 / (n[0][f] + 1) + 1 / (n[1][f] + 1)) for f in often}
+    used = {f for f in often if abs(ratio[f] - middle) >= max(toxicity.MIN_RATIO, toxicity.MIN_SURE * sure[f])}
+    assert used == set(np.flatnonzero(m.weights).tolist())
+    for r in [*docs.collect(), *awkward.collect()]:
+        x = sum(m.weights[f] for f in _features(r["text"] or "")) + m.bias
+        assert abs(m.score([r["text"]])[0] - 1 / (1 + math.exp(-max(-60, min(60, x))))) < 1e-9
