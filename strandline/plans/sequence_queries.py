@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from strandline.functions import codecs
 from strandline.operators import decoding, series, slicing
+from strandline.plans import pipeline
 from strandline.plans.registry import query
 from strandline.runtime import ship, table
-from strandline.schema import NOTES_SQL
+from strandline.schema import NOTES_SQL, WORDS_SQL
 from strandline.schema import notes as notes_of
+from strandline.schema import words as words_of
 
 _EMB = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)\n"
 
@@ -188,6 +190,24 @@ def _waves(spark, sf_dir):
     return n.mapInPandas(run, "source_id bigint, sr int, samples array<float>")
 
 
+@query(
+    WORDS_SQL
+    + """, n AS (SELECT track_id AS utt, word_idx, "end" AS e, text, CASE WHEN text NOT IN ('', 'purchase') THEN start + ("end" - start) * 0.25::DOUBLE END AS nuc FROM words),
+u AS (SELECT *, CASE WHEN nuc IS NOT NULL THEN coalesce(lead(nuc) OVER w, e) ELSE e END AS til, count(nuc) OVER (w ROWS UNBOUNDED PRECEDING) - 1 AS k FROM n WINDOW w AS (PARTITION BY utt ORDER BY word_idx)),
+r AS (SELECT *, greatest(0.0::DOUBLE, coalesce(max(til) OVER (PARTITION BY utt ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) AS reached FROM u),
+s AS (SELECT utt, word_idx, 0 AS part, CASE WHEN nuc IS NULL THEN e - reached WHEN nuc > reached + 0.005::DOUBLE THEN nuc - reached END AS dur, 0 AS voiced, '' AS lyric FROM r
+  UNION ALL SELECT utt, word_idx, 1, greatest(0.0::DOUBLE, til - greatest(nuc, reached)), 1, CASE WHEN k < 40 THEN 'é' || k ELSE text END FROM r WHERE nuc IS NOT NULL)
+SELECT utt, word_idx, part, round(dur, 9) AS dur, voiced, lyric FROM s WHERE voiced = 1 OR dur > 0"""
+)
+def vowel_spans(spark, sf_dir):
+    """Words of a consonant and, but for ``purchase``, a vowel that begins at a quarter; forty lyrics for each track."""
+    w = words_of(spark, sf_dir).withColumnRenamed("track_id", "utt")
+    vowel = F.struct(F.lit(1).alias("ph_idx"), (F.col("start") + (F.col("end") - F.col("start")) * 0.25).alias("start"), F.when(F.col("text") == "purchase", "n").otherwise("a").alias("text"))
+    phones = w.select("utt", "word_idx", F.explode(F.array(F.struct(F.lit(0).alias("ph_idx"), "start", F.lit("k").alias("text")), vowel)).alias("p")).select("utt", "word_idx", "p.*")
+    lyrics = w.select("utt").distinct().withColumn("chars", F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat(F.lit("é"), i.cast("string"))))
+    return pipeline.vowel_spans(w, phones, lyrics, "zh").withColumn("dur", F.round("dur", 9))
+
+
 @query()
 def silence_slicer(spark, sf_dir):
     ship(spark)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline import catalog
-from strandline.functions import codecs, itn, kana
+from strandline.functions import codecs, itn, kana, text
 from strandline.operators import decoding, matching, series, slicing, stats
 from strandline.plans import pipeline, sequence_queries
 
@@ -218,17 +218,64 @@ def test_moras_and_numbers():
         assert itn.to_digits(t) == want
 
 
-def word(text, start, end, *phones):
-    return {"text": text, "start": start, "end": end, "phones": [{"text": p, "start": a} for p, a in phones]}
-
-
-def test_vowel_spans():
-    ja = [word("ka", 0, 0.25, ("k", 0), ("a", 0.08)), word("ni", 0.25, 0.5, ("n", 0.25), ("i", 0.33))]
-    got = pipeline.vowel_spans(ja, ["か", "に"], "ja")
-    assert [(round(d, 6), v, x) for d, v, x in got] == [(0.08, 0, ""), (0.25, 1, "か"), (0.17, 1, "に")]
-    zh = [word("ang", 0, 0.3, ("a", 0), ("ng", 0.22)), word("ni", 0.3, 0.6, ("n", 0.3), ("i", 0.36))]
-    got = pipeline.vowel_spans(zh, ["昂", "你"], "zh")
-    assert [(round(d, 6), v, x) for d, v, x in got] == [(0.36, 1, "昂"), (0.24, 1, "你")]
+def spans(spark, words, chars, language):
+    """words: (text, start, end, [(phone, start), ...]) of one utterance."""
+    w = spark.createDataFrame([(1, i, float(a), float(z), t) for i, (t, a, z, _) in enumerate(words)], "utt int, word_idx int, start double, end double, text string")
+    p = spark.createDataFrame([(1, i, k, float(a), t) for i, (*_, ph) in enumerate(words) for k, (t, a) in enumerate(ph)], "utt int, word_idx int, ph_idx int, start double, text string")
+    lyrics = spark.createDataFrame([(1, chars)], "utt int, chars array<string>")
+    got = pipeline.vowel_spans(w, p, lyrics, language).orderBy("word_idx", "part").collect()
+    return [(round(r["dur"], 6), r["voiced"], r["lyric"]) for r in got]
+
+
+def test_vowel_spans(spark):
+    """The first two are fixed test vectors."""
+    ja = [("ka", 0, 0.25, [("k", 0), ("a", 0.08)]), ("ni", 0.25, 0.5, [("n", 0.25), ("i", 0.33)])]
+    assert spans(spark, ja, ["か", "に"], "ja") == [(0.08, 0, ""), (0.25, 1, "か"), (0.17, 1, "に")]
+    zh = [("ang", 0, 0.3, [("a", 0), ("ng", 0.22)]), ("ni", 0.3, 0.6, [("n", 0.3), ("i", 0.36)])]
+    assert spans(spark, zh, ["昂", "你"], "zh") == [(0.36, 1, "昂"), (0.24, 1, "你")]
+    rests = [("SP", 0, 0.5, [("SP", 0)]), ("la", 0.5, 1.0, [("l", 0.5), ("a", 0.503)]), ("AP", 1.0, 1.2, []), ("s", 1.2, 1.4, [("s", 1.2)]), ("lo", 1.4, 2.0, [("l", 1.4), ("o", 1.5)])]
+    assert spans(spark, rests, ["Oh", "LA", "x", "Lo"], "zh") == [(0.5, 0, ""), (0.497, 1, "LA"), (0.2, 0, ""), (0.2, 0, ""), (0.1, 0, ""), (0.5, 1, "Lo")]
+    assert [x[2] for x in spans(spark, rests, ["lo", "la"], "zh") if x[1]] == ["la", "lo"]  # behind the first match no other is left
+    assert [x[2] for x in spans(spark, rests, ["唱"], "zh") if x[1]] == ["唱", "lo"]
+
+
+def test_cuts_of_each_kind_of_run():
+    """Silent runs that are short, medium and long against the rule read run by run; also at either end."""
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        c = slicing.Silence(threshold=-20.0, min_length=int(r.integers(100, 900)), min_interval=int(r.integers(40, 300)), hop=20, max_kept=int(r.integers(40, 400)))
+        parts = []
+        for k in range(int(r.integers(1, 9))):
+            parts.append((0.02 if (k + int(r.integers(0, 2))) % 2 else 1.0) * r.normal(size=int(r.integers(10, 900))))
+        x = np.concatenate(parts).astype(np.float32)
+        got, total, hop = c.cuts(x, 1000)
+        least, apart, near = round(c.min_length / 20), round(c.min_interval / 20), round(c.max_kept / 20)
+        if -(-len(x) // 20) <= least:
+            assert got == []
+            continue
+        level = slicing.rms(x, min(c.min_interval, 80), 20)
+        place = lambda a, b: min(range(a, min(b, total - 1) + 1), key=lambda i: (level[i], i))
+        want, clip, i = [], 0, 0
+        while i < total:
+            j = i
+            while j < total and level[j] < 0.1:
+                j += 1
+            n = j - i
+            if n and j == total:
+                want += [(place(i, i + near), total + 1)] if n >= apart else []
+            elif n and (i == 0 and n > near or n >= apart and j - clip >= least):
+                cover = [place(i, j)] if n <= near else [place(i, i + near), place(j - near, j)] + ([place(j - near, i + near)] if n <= 2 * near else [])
+                last = cover[0] if n <= near else cover[1] if i == 0 else max(cover)
+                want.append((0 if i == 0 else min(cover), last))
+                clip = last
+            i = max(j, i + 1)
+        assert got == want
+
+
+def test_marks_are_complete(spark):
+    text_ = "lǜ zhōng nǐ hǎo ḿ ǹg lüè ā á ǎ à ō ó ǒ ò ē é ě è ī í ǐ ì ū ú ǔ ù ǖ ǘ ǚ ǜ"
+    got = spark.createDataFrame([(text_,)], "t string").select(text.without_tone(F.col("t")).alias("p")).first()["p"]
+    assert got == "lv zhong ni hao m ng lve a a a a o o o o e e e e i i i i u u u u v v v v"
 
 
 def test_note_merging():
