@@ -47,6 +47,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, read from its folder; a folder goes when the next stage has been written."""
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
@@ -54,4 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{base}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{k}")
+        if k:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return docs
