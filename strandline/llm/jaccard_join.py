@@ -48,7 +48,6 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
@@ -288,8 +287,8 @@ def candidates(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
 
 
 def _free(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that only finished, checkpointed plans refer to."""
-    gc.collect()
+    """Let Spark's cleaner drop shuffle files that only finished, checkpointed plans refer to, and give freed memory back."""
+    list(tidy(()))
     spark.sparkContext._jvm.System.gc()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,10 @@ def id_filter(ids: DataFrame, most: int = FILTER_BITS) -> Callable[[Column], Col
 
     at = ids.select(F.explode(F.array(*places(F.col(name)))).alias("at"))
     got = at.groupBy(F.shiftrightunsigned("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("set")).toArrow()  # at most ``most`` / 8 rows
-    filter_ = bytearray(bits // 8)
-    for b, v in zip(got.column("byte").to_pylist(), got.column("set").to_pylist(), strict=True):
-        filter_[b] = v
-    table_ = F.lit(bytes(filter_))
+    filter_ = np.zeros(bits // 8, np.uint8)
+    filter_[got.column("byte").to_numpy()] = got.column("set").to_numpy()
+    # a scalar subquery: a literal of this size would stand in every description of the plan
+    table_ = ids.sparkSession.createDataFrame([(filter_.tobytes(),)], "bits binary").scalar()
 
     def maybe(x: Column) -> Column:
         ok = x.isNotNull()

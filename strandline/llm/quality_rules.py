@@ -97,7 +97,7 @@ def trusted_rows(docs: DataFrame, labels: DataFrame, most: int = FILTER_BITS) ->
     kind = dict(docs.dtypes)["doc_id"]
     ids = labels.where("quality = 1").select(F.col("doc_id").cast(kind).alias("_id")).where("_id is not null")
     some = docs.where(id_filter(ids, most)(F.col("doc_id")))
-    return some.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")  # the same way at every size
+    return some.join(ids.hint("merge"), some["doc_id"] == ids["_id"], "left_semi")  # the same way at every size
 
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, pairs: bool = True) -> dict[int, int]:
