@@ -19,4 +19,4 @@ QUERIES = {
         toxicity.op10_toxicity,
     )
 }
-SQL = {"op4_mixing": mixing.OP4_SQL, "op7_url_filter": url_filter.OP7_SQL}
+SQL = {"op4_mixing": mixing.OP4_SQL, "op6_lattice_dedup": lattice_dedup.OP6_SQL, "op7_url_filter": url_filter.OP7_SQL, "op8_ngram_jaccard_join": jaccard_join.OP8_SQL}

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import jaccard_join as J
 from strandline.llm import lattice_dedup as L
+from strandline.llm import queries
 from strandline.llm.components import components
 from strandline.llm.joins import hot_keys, id_filter, spread_join
 from strandline.llm.shingles import shingle_sets
@@ -284,3 +286,15 @@ def test_settings_find_pairs_at_the_bound_and_keep_strangers_apart(n):
         _, times = np.unique(x[:, 0], return_counts=True)
         met = (times * (times - 1.0)).sum() / 4000**2 * n * (1 + 2 * L.PROBES)
         assert met <= 4 * L.MEET
+
+
+@pytest.mark.parametrize("name", ["op6_lattice_dedup", "op8_ngram_jaccard_join"])
+def test_queries_agree_with_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want, got = con.execute(queries.SQL[name]).df(), queries.QUERIES[name](spark, sf).toPandas()
+    key = want.columns[0]
+    want, got = want.sort_values(key).reset_index(drop=True), got.sort_values(key).reset_index(drop=True)
+    assert (want == got[want.columns]).all().all() and (want.dtypes == got[want.columns].dtypes).all()
