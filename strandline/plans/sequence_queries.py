@@ -144,17 +144,29 @@ def _durations(spark, sf_dir):
     return n.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("note_idx", "d")))["d"].alias("d"))
 
 
-@query()
+@query(
+    NOTES_SQL
+    + """, d AS (SELECT track_id, note_idx, "offset" - onset AS d, count(CASE WHEN "offset" - onset >= 0.35::DOUBLE THEN 1 END) OVER (PARTITION BY track_id ORDER BY note_idx ROWS UNBOUNDED PRECEDING) AS c FROM notes),
+h AS (SELECT track_id, coalesce(sum(d) FILTER (c = 0), 0) AS head FROM d GROUP BY track_id),
+g AS (SELECT d.*, CASE WHEN c = 0 THEN 0 WHEN head < 0.35::DOUBLE THEN c - 1 ELSE c END AS g FROM d JOIN h USING (track_id))
+SELECT track_id, CAST(count(DISTINCT g) AS INT) AS n, round(sum(d) FILTER (g = 0), 9) AS first_dur, round(sum(d), 6) AS total FROM g GROUP BY track_id"""
+)
 def merge_tiny(spark, sf_dir):
     d = _durations(spark, sf_dir).select("track_id", slicing.merge_tiny(F.col("d")).alias("m"))
     return d.select("track_id", F.size("m").alias("n"), F.round(F.get("m", F.lit(0)), 9).alias("first_dur"), F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query()
+@query(
+    NOTES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, p AS (SELECT track_id, note_idx AS i, pitch * 100 AS x, lead(pitch * 100) OVER (PARTITION BY track_id ORDER BY note_idx) AS nx FROM notes),
+s AS (SELECT track_id, i, x AS v FROM p WHERE i = 0
+  UNION ALL SELECT p.track_id, p.i, CASE WHEN nx IS NOT NULL AND abs(x - (v + nx) / 2) > 75 THEN x * (1 - 0.7::DOUBLE) + (v + nx) / 2 * 0.7::DOUBLE ELSE x END FROM s JOIN p ON p.track_id = s.track_id AND p.i = s.i + 1)
+SELECT track_id, CAST(i AS INT) AS note_idx, round(v, 6) AS smooth FROM s"""
+)
 def adaptive_smooth(spark, sf_dir):
     n = notes_of(spark, sf_dir)
     d = n.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("note_idx", (F.col("pitch") * 100).alias("p"))))["p"].alias("p"))
-    return d.select("track_id", F.posexplode(series.adaptive_smooth(F.col("p"))).alias("note_idx", "smooth"))
+    return d.select("track_id", F.posexplode(series.adaptive_smooth(F.col("p"))).alias("note_idx", "smooth")).withColumn("smooth", F.round("smooth", 6))
 
 
 @query()
@@ -262,12 +274,12 @@ def q8_blocks(spark, sf_dir):
     return d.select("vec_id", F.col("block").cast("bigint").alias("block"), F.aggregate(q, F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("q_sum"))
 
 
-@query()
+@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) > 0 AS voiced FROM embeddings")
 def model_hook(spark, sf_dir):
     """A stand-in model behind the batch inference hook: the sign of each vector's sum."""
 
     def model(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"vec_id": b["vec_id"], "voiced": [float(np.sum(v)) > 0 for v in b["embedding"]]})
+        return pd.DataFrame({"vec_id": b["vec_id"], "voiced": [float(np.sum(v, dtype=float)) > 0 for v in b["embedding"]]})
 
     return decoding.infer(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), model, "vec_id bigint, voiced boolean")
 

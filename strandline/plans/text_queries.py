@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions import itn, kana, text
 from strandline.operators import matching, stats
 from strandline.plans.registry import query
-from strandline.runtime import ship, table
+from strandline.runtime import durable, join_small, ship, table
 
 _SPLIT = r"list_filter(string_split_regex({}, '[ \t\n]+'), lambda x: x <> '')"
 
@@ -115,28 +115,25 @@ def turn_edit_distance(spark, sf_dir):
     return _turns(spark, sf_dir).where("a is not null").mapInPandas(run, "conv_id bigint, turn bigint, distance int")
 
 
-#: Words in a row that make a document a candidate.
-RUN = 5
-
-
-def _first_words(spark, sf_dir):
-    """Benchmark items of five words or more with the documents that hold their first five, as whole copies do: an equi-join on word runs."""
+@query(
+    "WITH b AS (SELECT item_id, q FROM (SELECT item_id, " + _SPLIT.format("text") + " AS q FROM benchmark) WHERE len(q) >= 5), d AS (SELECT doc_id, " + _SPLIT.format("text") + " AS r FROM documents),\n"
+    "t AS (SELECT doc_id, unnest(r) AS w, unnest(range(len(r))) AS i FROM d),\n"
+    "f AS (SELECT doc_id, i, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),\n"
+    "h AS (SELECT item_id, f.doc_id, i, q FROM b JOIN f ON w1 = q[1] AND w2 = q[2] AND w3 = q[3] AND w4 = q[4] AND w5 = q[5])\n"
+    "SELECT item_id, h.doc_id, CAST(min(i) AS INT) AS place FROM h JOIN d ON d.doc_id = h.doc_id WHERE r[i + 1 : i + len(q)] = q GROUP BY item_id, h.doc_id"
+)
+def exact_window_match(spark, sf_dir):
+    """First place of each whole benchmark item of five words or more in each document that holds it."""
     b = table(spark, sf_dir, "benchmark").select("item_id", _tokens(F.col("text")).alias("query")).where(F.size("query") >= 5)
-    b = b.withColumn("k", F.xxhash64(F.slice("query", 1, 5)))
+    b = durable(b.withColumn("k", F.xxhash64(F.slice("query", 1, 5))))
     d = table(spark, sf_dir, "documents").select("doc_id", _tokens(F.col("text")).alias("ref"))
-    k = F.when(F.size("ref") >= 5, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ref") - 4), lambda i: F.xxhash64(F.slice("ref", i, 5)))))
-    hit = d.select("doc_id", F.explode(k).alias("k")).join(b.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
-    return hit.join(b.drop("k"), "item_id").join(d, "doc_id")
+    k = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ref") - 4), lambda i: F.xxhash64(F.slice("ref", i, 5))))
+    hit = join_small(d.where(F.size("ref") >= 5).select("doc_id", "ref", F.explode(k).alias("k")), b, ["k"])
+    return hit.select("item_id", "doc_id", matching.find_exact(F.col("ref"), F.col("query")).alias("place")).where("place >= 0")
 
 
-@query(
-    "WITH b AS (SELECT item_id, " + _SPLIT.format("text") + " AS q FROM benchmark), d AS (SELECT doc_id, " + _SPLIT.format("text") + " AS r FROM documents),\n"
-    "h AS (SELECT item_id, doc_id, list_filter(range(len(r) - len(q) + 1), lambda i: r[i + 1] = q[1] AND r[i + 1 : i + len(q)] = q) AS hits FROM b, d WHERE len(q) >= 5 AND list_has_all(r, q))\n"
-    "SELECT item_id, doc_id, CAST(hits[1] AS INT) AS place FROM h WHERE len(hits) > 0"
-)
-def exact_window_match(spark, sf_dir):
-    p = _first_words(spark, sf_dir)
-    return p.select("item_id", "doc_id", matching.find_exact(F.col("ref"), F.col("query")).alias("place")).where("place >= 0")
+#: Words in a row that make a document a candidate.
+RUN = 5
 
 
 def _runs(tokens, n):
