@@ -160,29 +160,62 @@ def match_counters(matched: DataFrame, limit: int = 5) -> DataFrame:
     return matched.agg(F.count("*").alias("n"), F.sum(F.col("found").cast("int")).alias("found"), F.sum((F.col("distance") > limit).cast("int")).alias("differ"), F.sum((~F.col("found")).cast("int")).alias("no_match"))
 
 
-def edit_counts(pred: list[tuple[float, str]], target: list[tuple[float, str]], tolerance: float = 0.02) -> tuple[int, float]:
-    """Edits that turn predicted boundaries (time, mark) into the target ones, over the common length: an
-    insertion or deletion costs 1, another mark 1, a shift of more than the tolerance 1. And the ratio to twice the length."""
+def edit_counts(pred: list[tuple[float, str]], target: list[tuple[float, str]], near: float = 1.0, far: float = 2.0) -> tuple[int, int]:
+    """Least cost of turning predicted boundaries (time, mark) into the target ones, over the common length, and twice that length.
+
+    A deletion costs 1; an insertion 1, and 1 more where the target's mark differs from the one before; keeping a
+    boundary costs 1 for another mark and 1 for a shift of at least ``near`` and less than ``far``. In front of all
+    predicted ones every insertion costs 2. Insertions run along a row, so a row is one running minimum."""
     n = min(len(pred), len(target))
     if not n:
-        return 0, 0.0
-    p, q = pred[:n], target[:n]
-    cost = np.zeros((n + 1, n + 1))
-    cost[:, 0] = cost[0, :] = np.arange(n + 1)
-    for i in range(1, n + 1):
-        for j in range(1, n + 1):
-            change = (p[i - 1][1] != q[j - 1][1]) + (abs(p[i - 1][0] - q[j - 1][0]) > tolerance)
-            cost[i, j] = min(cost[i - 1, j - 1] + change, cost[i - 1, j] + 1, cost[i, j - 1] + 1)
-    return int(cost[n, n]), float(cost[n, n] / (2 * n))
+        return 0, 0
+    code: dict = {}
+    p, q = (np.array([code.setdefault(m, len(code)) for _, m in x[:n]], np.int64) for x in (pred, target))
+    at, goal = (np.array([t for t, _ in x[:n]], float) for x in (pred, target))
+    insert = np.concatenate([[0], np.cumsum(1 + np.concatenate([[1], q[1:] != q[:-1]]))])
+    row = 2 * np.arange(n + 1)
+    for i in range(n):
+        shift = np.abs(at[i] - goal)
+        keep = row[:-1] + (q != p[i]) + ((shift >= near) & (shift < far))
+        row = np.minimum.accumulate(np.concatenate([[i + 1], np.minimum(row[1:] + 1, keep)]) - insert) + insert
+    return int(row[-1]), 2 * n
+
+
+def edit_count_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns, edits and most (the bound for a ratio) for rows with ``pred`` and ``target``: arrays of (t, mark) in order."""
+    ship(rows.sparkSession)
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            tier = lambda x: [(r["t"], r["mark"]) for r in x]
+            got = [edit_counts(tier(p), tier(q)) for p, q in zip(b["pred"], b["target"], strict=True)]
+            yield pd.concat([b[list(keep)].reset_index(drop=True), pd.DataFrame(got, columns=["edits", "most"])], axis=1)
+
+    return rows.select(*keep, "pred", "target").mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", edits bigint, most bigint")
+
+
+def matched_pair_rows(rows: DataFrame, a: str, b: str, *keep: str) -> DataFrame:
+    """``keep`` columns with i and j: a row for each matched pair of places of two token arrays."""
+    ship(rows.sparkSession)
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            got = [(*k, i, j) for p, q, *k in zip(x["_a"], x["_b"], *(x[c] for c in keep), strict=True) for i, j in matched_pairs(list(p), list(q))]
+            yield pd.DataFrame(got, columns=[*keep, "i", "j"])
+
+    return rows.select(*keep, F.col(a).alias("_a"), F.col(b).alias("_b")).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", i int, j int")
 
 
 def matched_pairs(pred: list[str], target: list[str]) -> list[tuple[int, int]]:
     """Places of an LCS of two mark lists; going back, a row is left only if the cell above is strictly better."""
     n, m = len(pred), len(target)
+    code: dict = {}
+    p, q = (np.array([code.setdefault(t, len(code)) for t in x], np.int64) for x in (pred, target))
     best = np.zeros((n + 1, m + 1), np.int64)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best[i, j] = best[i - 1, j - 1] + 1 if pred[i - 1] == target[j - 1] else max(best[i - 1, j], best[i, j - 1])
+    for i in range(n):
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + (q == p[i])))
     out, i, j = [], n, m
     while i and j:
         if pred[i - 1] == target[j - 1]:

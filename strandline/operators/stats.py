@@ -79,7 +79,7 @@ def iou_by_mark(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Overlap of equal marks over the rest of both (keys, start, end, mark), to six places; 0 without overlap."""
     from strandline.operators.intervals import overlap_join
 
-    both = overlap_join(a.withColumnRenamed("mark", "_m"), b.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("mark")), keys, 4.0).where("_m = mark")
+    both = overlap_join(a, b.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end"), "mark"), [*keys, "mark"], 4.0)
     inter = both.groupBy("mark").agg(F.sum(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("inter"))
     total = a.select("mark", "start", "end").unionByName(b.select("mark", "start", "end")).groupBy("mark").agg(F.sum(F.col("end") - F.col("start")).alias("total"))
     inter_ = F.coalesce(F.col("inter"), F.lit(0.0))

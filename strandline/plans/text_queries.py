@@ -8,6 +8,7 @@ from strandline.functions import itn, kana, text
 from strandline.operators import matching, stats
 from strandline.plans.registry import query
 from strandline.runtime import durable, join_small, ship, table
+from strandline.schema import notes as notes_of
 
 _SPLIT = r"list_filter(string_split_regex({}, '[ \t\n]+'), lambda x: x <> '')"
 
@@ -216,9 +217,28 @@ def inverse_text_normalization(spark, sf_dir):
     return literals(spark, [(c,) for c in cases], "t string").select("t", itn.digits_written(F.col("t")).alias("digits"))
 
 
-@query("SELECT * FROM (VALUES ('zh', 'Chinese'), ('JA', 'Japanese'), ('english', 'English'), ('xx', NULL)) t(code, name)")
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' END AS name, CASE WHEN lang IN ('en', 'fr') THEN upper(lang[1]) || lang[2] END AS odd FROM documents")
 def language_names(spark, sf_dir):
-    return literals(spark, [("zh",), ("JA",), ("english",), ("xx",)], "code string").select("code", text.language_name(F.col("code")).alias("name"))
+    """Full names of the documents' languages, by code and by a name in another case; a language and a half is none."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.language_name(F.col("lang")).alias("name"), "lang")
+    again = text.language_name(F.upper("name"))
+    odd = F.when(text.language_name(F.concat("lang", F.lit("x"))).isNull() & F.col("lang").isin("en", "fr"), F.initcap("lang"))
+    return d.select("doc_id", again.alias("name"), odd.alias("odd"))
+
+
+@query()
+def edit_counts(spark, sf_dir):
+    """Edits from a track's onsets, in frames of 20 ms, to those on the grid of sixteenths; marks are lyrics."""
+    n = notes_of(spark, sf_dir)
+    tier = lambda t: F.transform(F.array_sort(F.collect_list(F.struct("note_idx", t.alias("t"), F.col("lyric").alias("mark")))), lambda x: F.struct(x["t"].alias("t"), x["mark"].alias("mark")))
+    rows = n.groupBy("track_id").agg(tier(F.col("onset") * 50).alias("pred"), tier(F.rint(F.col("onset") * 8) / 8 * 50).alias("target"))
+    return matching.edit_count_rows(rows, "track_id").withColumn("ratio", F.round(F.col("edits") / F.col("most"), 6))
+
+
+@query()
+def matched_pairs(spark, sf_dir):
+    """Places of the longest common subsequence of each turn and the next one."""
+    return matching.matched_pair_rows(_turns(spark, sf_dir).where("a is not null"), "a", "b", "conv_id", "turn")
 
 
 @query("SELECT * FROM (VALUES ('1/4', 480), ('1/16', 120), ('none', 0)) t(label, ticks)")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandline import catalog
 from strandline.functions import codecs, itn, kana, text
 from strandline.operators import decoding, matching, series, slicing, stats
-from strandline.plans import pipeline, sequence_queries
+from strandline.plans import pipeline, sequence_queries, text_queries
 
 
 def lev(a, b):
@@ -42,6 +42,56 @@ def test_distances_equal_the_plain_tables():
         assert len(matching.matched_pairs(a, b)) == lcs(a, b)
 
 
+def plain_edits(p, q):
+    """The rule cell by cell."""
+    n = min(len(p), len(q))
+    t = [[2 * j if not i else i for j in range(n + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, n + 1):
+            new = t[i][j - 1] + (1 if j > 1 and q[j - 1][1] == q[j - 2][1] else 2)
+            kept = t[i - 1][j - 1] + (p[i - 1][1] != q[j - 1][1]) + (1 <= abs(p[i - 1][0] - q[j - 1][0]) < 2)
+            t[i][j] = min(new, t[i - 1][j] + 1, kept)
+    return t[n][n], 2 * n
+
+
+def plain_pairs(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            t[i][j] = t[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(t[i - 1][j], t[i][j - 1])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif t[i - 1][j] > t[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def test_boundary_edits_and_matched_pairs(spark, sf):
+    r = random.Random(4)
+    tier = lambda: [(r.choice([0, 0.5, 1, 1.5, 2, 3]) + k, r.choice("ab")) for k in range(r.randint(0, 9))]
+    for _ in range(400):
+        p, q = tier(), tier()
+        assert matching.edit_counts(p, q) == plain_edits(p, q)
+        a, b = [m for _, m in p], [m for _, m in q]
+        assert matching.matched_pairs(a, b) == plain_pairs(a, b)
+    turns = {(x["conv_id"], x["turn"]): (x["a"], x["b"]) for x in text_queries._turns(spark, sf).collect()}
+    got = {}
+    for x in catalog.QUERIES["matched_pairs"](spark, sf).collect():
+        got.setdefault((x["conv_id"], x["turn"]), []).append((x["i"], x["j"]))
+    assert all(sorted(got.get(k, [])) == plain_pairs(*ab) for k, ab in turns.items())
+    notes = {}
+    for x in sequence_queries.notes_of(spark, sf).orderBy("track_id", "note_idx").collect():
+        notes.setdefault(x["track_id"], []).append((x["onset"], x["lyric"]))
+    for x in catalog.QUERIES["edit_counts"](spark, sf).collect():
+        n = notes[x["track_id"]]
+        assert (x["edits"], x["most"]) == plain_edits([(t * 50, m) for t, m in n], [(float(np.rint(t * 8)) / 8 * 50, m) for t, m in n])
+
+
 def test_matches():
     ref = list("the quick brown fox jumps".replace(" ", "_"))
     m = matching.match(list("brown"), ref, ref)
