@@ -36,10 +36,10 @@ def text_sanitize_cjk(spark, sf_dir):
     return d.select("id", text.sanitize_recognized(F.col("t"), F.col("lang")).alias("clean"))
 
 
-@query(r"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')) AS INT) AS n, array_to_string(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')[1:5], ' ') AS head FROM documents")
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')) AS INT) AS n, md5(array_to_string(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?'), ' ')) AS digest FROM documents")
 def split_tokens(spark, sf_dir):
     t = text.english_tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n"), F.array_join(F.slice(t, 1, 5), " ").alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ").cast("binary")).alias("digest"))
 
 
 @query("SELECT * FROM (VALUES (1, '北|京|1|2|ab|きょ|う'), (2, '欢|迎')) t(id, parts)")
@@ -48,10 +48,15 @@ def split_cjk(spark, sf_dir):
     return d.select("id", F.array_join(text.tokens(F.col("t")), "|").alias("parts"))
 
 
-@query("SELECT * FROM (VALUES ('zh', '汉字', 'hanzi'), ('zh', 'pinyin', 'pinyin'), ('ja', '假名', 'kana'), ('ja', NULL, 'romaji'), ('en', 'kana', 'hanzi')) t(lang, mode, shown)")
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 5 IN (0, 1) THEN 'pinyin' ELSE 'hanzi' END
+  WHEN doc_id % 3 = 1 THEN CASE WHEN doc_id % 5 = 3 THEN 'kana' ELSE 'romaji' END ELSE 'hanzi' END AS shown FROM documents"""
+)
 def display_mode(spark, sf_dir):
-    d = literals(spark, [("zh", "汉字"), ("zh", "pinyin"), ("ja", "假名"), ("ja", None), ("en", "kana")], "lang string, mode string")
-    return d.select("lang", "mode", text.output_mode(F.col("lang"), F.col("mode")).alias("shown"))
+    """A language (zh, ja, the document's own) and a mode by remainders of doc_id."""
+    lang = F.when(F.col("doc_id") % 3 == 0, "ZH").when(F.col("doc_id") % 3 == 1, "ja").otherwise(F.col("lang"))
+    mode = F.get(F.array(*[F.lit(x) for x in ("拼音", "Pinyin", "汉字", "假名", None)]), (F.col("doc_id") % 5).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.output_mode(lang, mode).alias("shown"))
 
 
 @query(
@@ -241,9 +246,10 @@ def matched_pairs(spark, sf_dir):
     return matching.matched_pair_rows(_turns(spark, sf_dir).where("a is not null"), "a", "b", "conv_id", "turn")
 
 
-@query("SELECT * FROM (VALUES ('1/4', 480), ('1/16', 120), ('none', 0)) t(label, ticks)")
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 480 WHEN 1 THEN 240 WHEN 2 THEN 120 WHEN 3 THEN 60 WHEN 4 THEN 30 ELSE 0 END AS ticks FROM events")
 def note_values(spark, sf_dir):
-    return literals(spark, [("1/4",), ("1/16",), ("none",)], "label string").select("label", text.note_value_ticks(F.col("label")).alias("ticks"))
+    label = F.get(F.array(*[F.lit(x) for x in ("1/4", " 1/8", "1/16", "1/32 ", "1/64", "none", "1/3")]), (F.col("event_id") % 7).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.note_value_ticks(label).alias("ticks"))
 
 
 @query("SELECT * FROM (VALUES ('Smart slicing', 'smart'), ('网格搜索', 'grid'), ('pitch', 'pitch'), ('静音切片', 'default'), (NULL, 'default')) t(label, method)")
@@ -251,12 +257,19 @@ def method_names(spark, sf_dir):
     return literals(spark, [("Smart slicing",), ("网格搜索",), ("pitch",), ("静音切片",), (None,)], "label string").select("label", text.slicing_method(F.col("label")).alias("method"))
 
 
-@query("SELECT * FROM (VALUES ('lǜ zhōng', 'lv zhong'), ('nǐ hǎo', 'ni hao')) t(p, plain)")
+@query("SELECT doc_id, md5(translate(text, 'āáǎàōóǒòēéěèīíǐìūúǔùǖǘǚǜüḿǹ', 'aaaaooooeeeeiiiiuuuuvvvvvmn')) AS plain FROM documents")
 def pinyin_plain(spark, sf_dir):
-    return literals(spark, [("lǜ zhōng",), ("nǐ hǎo",)], "p string").select("p", text.without_tone(F.col("p")).alias("plain"))
+    """Whole texts without tone marks."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.without_tone(F.col("text")).cast("binary")).alias("plain"))
 
 
-@query("SELECT * FROM (VALUES (1, 'ja/a', 'ja', true), (2, 'ja/N', 'ja', true), (3, 'zh/ng', 'zh', false), (4, 'zh/iang', 'zh', true), (5, 'SP', 'zh', false), (6, 'k', 'ja', false)) t(id, phone, lang, singable)")
+@query(
+    r"""WITH p AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[ \t\n]+')) AS raw FROM documents),
+t AS (SELECT doc_id, trim(string_split(raw, '/')[-1], ' ') AS raw FROM p)
+SELECT doc_id, count(CASE WHEN lower(raw) NOT IN ('', 'sp') AND CASE WHEN doc_id % 2 = 0 THEN lower(raw) IN ('a', 'i', 'u', 'e', 'o') OR raw = 'N' ELSE lower(raw) NOT IN ('n', 'ng', 'm') AND regexp_matches(lower(raw), '[aeiouv]') END THEN 1 END) AS singable FROM t GROUP BY doc_id"""
+)
 def singable_phones(spark, sf_dir):
-    d = literals(spark, [(1, "ja/a", "ja"), (2, "ja/N", "ja"), (3, "zh/ng", "zh"), (4, "zh/iang", "zh"), (5, "SP", "zh"), (6, "k", "ja")], "id int, phone string, lang string")
-    return d.withColumn("singable", text.is_singable(F.col("phone"), F.col("lang")))
+    """Singable ones among all words of a text taken as phones, of ja in even documents."""
+    lang = F.when(F.col("doc_id") % 2 == 0, "ja").otherwise("zh")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), r"[ \t\n]+")).alias("phone"))
+    return d.groupBy("doc_id").agg(F.count(F.when(text.is_singable(F.col("phone"), lang), 1)).alias("singable"))
