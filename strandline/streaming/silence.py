@@ -27,27 +27,33 @@ STATE = "begin long, last_loud long"
 OUT = "key string, start long, end long"
 
 
-def online_slices(frames: DataFrame, threshold: float, quiet: int):
-    """``frames`` (key, frame, level) to chunks [start, end): a chunk ends after ``quiet`` frames under the threshold.
+def online_slices(frames: DataFrame, threshold: float, quiet: int, time: str = "at", late: str = "10 seconds", idle: int = 60_000):
+    """``frames`` (key, frame, level and a time) to chunks [start, end): a chunk ends after ``quiet`` frames under the
+    threshold, or when the watermark is ``idle`` milliseconds past the last frame of its key.
 
-    State for a key is two numbers, so it is bounded whatever the length of the recording."""
+    State for a key is two numbers, so it is bounded whatever the length of the recording. Frames of a key come in
+    order but for those of one batch; those behind the watermark are dropped."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         begin, last = state.get if state.exists else (-1, -1)
         out = []
-        rows = pd.concat(list(batches)).sort_values("frame")
-        for f, v in zip(rows["frame"].tolist(), rows["level"].tolist(), strict=True):
-            if v >= threshold:
-                if begin < 0:
-                    begin = f
-                elif f - last > quiet:
+        if state.hasTimedOut:
+            state.remove()
+            if begin >= 0:
+                out.append((key[0], begin, last + 1))
+        else:
+            rows = pd.concat(list(batches)).sort_values("frame")
+            for f in rows.loc[rows["level"] >= threshold, "frame"].tolist():
+                if begin >= 0 and f - last > quiet:
                     out.append((key[0], begin, last + 1))
-                    begin = f
-                last = f
-        state.update((begin, last))
+                    begin = -1
+                begin, last = (f if begin < 0 else begin), f
+            state.update((begin, last))
+            newest = int(rows["at"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle)
         if out:
             yield pd.DataFrame(out, columns=["key", "start", "end"])
 
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    return frames.groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    d = frames.withWatermark(time, late).select("key", "frame", "level", F.col(time).alias("at"))
+    return d.groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

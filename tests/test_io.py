@@ -163,8 +163,11 @@ def test_sessions_and_online_slices(spark, tmp_path):
     assert sorted(r["n"] for r in silence.gap_sessions(d, "k", "t", "5 seconds", "1 minute").collect()) == [2, 3]
     assert sum(r["n"] for r in silence.tumbling_counts(d, "k", "t", "10 seconds", "1 minute").collect()) == 5
     levels = [1, 1, 0, 0, 0, 0, 1, 1, 0, 1]
-    spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(levels)], "key string, frame bigint, level double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("key string, frame bigint, level double").parquet(str(tmp_path / "in"))
+    kind = "key string, frame bigint, level double, at timestamp"
+    rows = [("a", i, float(v), i) for i, v in enumerate(levels)] + [("b", 0, 1.0, 7200)]  # an hour and more later, so that the watermark passes a's end
+    frames = spark.createDataFrame(rows, "key string, frame bigint, level double, s bigint").selectExpr("key", "frame", "level", "timestamp_seconds(1700000000 + s) as at")
+    frames.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
     q = silence.online_slices(stream, 0.5, 3).writeStream.format("memory").queryName("slices").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert [(r["start"], r["end"]) for r in spark.table("slices").collect()] == [(0, 2)]
+    assert sorted((r["key"], r["start"], r["end"]) for r in spark.table("slices").collect()) == [("a", 0, 2), ("a", 6, 10)]
