@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.operators.series import let
+
 
 def grid_distance(x: Column, step: int) -> Column:
     r = F.pmod(x, F.lit(step))
@@ -24,7 +26,8 @@ def nearest(values: Column, x: Column) -> Column:
 
 def candidate_pairs(start: Column, end: Column, step: int) -> Column:
     """(s, e) with e > s, sorted."""
-    return F.array_sort(F.flatten(F.transform(candidates(start, step), lambda s: F.transform(F.filter(candidates(end, step), lambda e: e > s), lambda e: F.struct(s.alias("s"), e.alias("e"))))))
+    pairs = lambda ends: F.flatten(F.transform(candidates(start, step), lambda s: F.transform(F.filter(ends, lambda e: e > s), lambda e: F.struct(s.alias("s"), e.alias("e")))))
+    return F.array_sort(let(candidates(end, step), pairs))
 
 
 def shift_limits(step: int) -> tuple[int, int]:

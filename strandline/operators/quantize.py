@@ -52,44 +52,45 @@ def _off(x: np.ndarray, step: int) -> np.ndarray:
     return np.minimum(r, step - r)
 
 
-def _pairs(start: int, end: int, step: int, reach: int = 3) -> np.ndarray:
-    """[k, 2] candidates (s, e), e > s, in ascending order."""
-    k = np.arange(-reach, reach + 1)
-    s, e = np.meshgrid((rint(start / step) + k) * step, (rint(end / step) + k) * step, indexing="ij")
-    keep = e > s
-    return np.stack([s[keep], e[keep]], axis=1)
+def _pairs(raw: np.ndarray, step: np.ndarray | int, reach: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the candidates of all notes at once: a row for each note, in ascending order; those with end <= start are none."""
+    k, step = np.arange(-reach, reach + 1), np.broadcast_to(step, len(raw))[:, None]
+    s, e = ((np.rint(raw[:, [j]] / step).astype(np.int64) + k) * step for j in (0, 1))
+    return np.repeat(s, len(k), axis=1), np.tile(e, (1, len(k)))
 
 
-def _shift_cost(c: np.ndarray, start: int, end: int, w: Weights) -> np.ndarray:
-    """Terms of the local cost that do not look at the previous note."""
-    s, e = c[:, 0], c[:, 1]
+def _shift_cost(s: np.ndarray, e: np.ndarray, raw: np.ndarray, w: Weights) -> np.ndarray:
+    """Terms of the local cost that do not look at the previous note; infinite where there is no candidate."""
+    start, end = raw[:, [0]], raw[:, [1]]
     pos = lambda x: np.maximum(x, 0)
-    return (
+    cost = (
         w.start * (w.start_early * pos(start - s) + w.start_late * pos(s - start))
         + w.end * (w.end_early * pos(end - e) + w.end_late * pos(e - end))
-        + w.duration * np.abs((e - s) - max(1, end - start))
+        + w.duration * np.abs((e - s) - np.maximum(1, end - start))
         + w.grid * _off(s, 120)
         + w.beat * _off(s, BEAT)
     )
+    return np.where(e > s, cost, np.inf)
 
 
-def _decode(raw: np.ndarray, options: list[np.ndarray], local: list[np.ndarray], w: Weights, no_overlap: bool) -> tuple[float, np.ndarray]:
+def _decode(raw: np.ndarray, s: np.ndarray, e: np.ndarray, local: np.ndarray, w: Weights, no_overlap: bool) -> tuple[float, np.ndarray]:
     """Least-cost chain of candidates; the first candidate wins ties. Neighbours are tied by the gap term."""
     cost, back = local[0], []
+    each = np.arange(local.shape[1])
     for i in range(1, len(raw)):
-        gap = options[i][:, 0][:, None] - options[i - 1][:, 1][None, :]
+        gap = s[i][:, None] - e[i - 1][None, :]
         step = cost[None, :] + w.gap * np.abs(gap - (raw[i, 0] - raw[i - 1, 1]))
         if no_overlap:  # predecessors that end in time, if there are any
-            fits = gap >= 0
+            fits = (gap >= 0) & np.isfinite(cost)[None, :]
             step = np.where(fits | ~fits.any(1, keepdims=True), step, np.inf)
         back.append(step.argmin(1))
-        cost = local[i] + step[np.arange(len(step)), back[-1]]
+        cost = local[i] + step[each, back[-1]]
     at = int(cost.argmin())
     best, path = float(cost[at]), [at]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
-    path.reverse()
-    return best, np.array([options[i][k] for i, k in enumerate(path)])
+    place, path = np.arange(len(raw)), np.array(path[::-1])
+    return best, np.stack([s[place, path], e[place, path]], axis=1)
 
 
 def repair(pairs: np.ndarray, step: int) -> np.ndarray:
@@ -153,11 +154,11 @@ def dp(raw: np.ndarray, lyric: list[str], step: int) -> np.ndarray:
     step = step or FINE_GRID
     centers = (0, 60, 120) if step >= 120 else (0, step // 4, step // 2)
     parts, costs, tracks = phrases(raw, lyric, step), [], []
+    s, e = _pairs(raw, step)
+    base = _shift_cost(s, e, raw, DP)
+    under = [base + _center(s, raw, lyric, [p.start for p in parts], center) for center in centers]
     for part in parts:
-        r, ly = raw[part], lyric[part]
-        options = [_pairs(s, e, step) for s, e in r]
-        base = [_shift_cost(c, s, e, DP) for c, (s, e) in zip(options, r, strict=True)]
-        got = [_decode(r, options, [b + _center(c, r, i, ly[i], center) for i, (b, c) in enumerate(zip(base, options, strict=True))], DP, False) for center in centers]
+        got = [_decode(raw[part], s[part], e[part], u[part], DP, False) for u in under]
         costs.append([g[0] for g in got])
         tracks.append([g[1] for g in got])
     cost, back = np.array(costs[0]), []
@@ -173,13 +174,14 @@ def dp(raw: np.ndarray, lyric: list[str], step: int) -> np.ndarray:
     return repair(np.concatenate([tracks[k][c] for k, c in enumerate(reversed(path))]), step)
 
 
-def _center(c: np.ndarray, raw: np.ndarray, i: int, lyric: str, center: int) -> np.ndarray:
-    """Distance of the shift from the center; a late center is rewarded on ties, joined and long notes."""
-    out = 0.02 * np.abs((c[:, 0] - raw[i, 0]) - center)
+def _center(s: np.ndarray, raw: np.ndarray, lyric: list[str], firsts: list[int], center: int) -> np.ndarray:
+    """Distance of the shift from the center; a late center is rewarded on ties, joined and long notes. ``firsts``: where phrases begin."""
+    out = 0.02 * np.abs((s - raw[:, [0]]) - center)
     if center > 0:
-        joined = i == 0 or raw[i, 0] == raw[i - 1, 1]
-        bonus = 0.4 * (lyric == "-") + 0.3 * joined + 0.2 * (raw[i, 1] - raw[i, 0] >= 240)
-        out = out - bonus * (1.15 if center >= 120 else 1.0)
+        joined = np.concatenate([[True], raw[1:, 0] == raw[:-1, 1]])
+        joined[firsts] = True
+        bonus = 0.4 * np.array([x == "-" for x in lyric]) + 0.3 * joined + 0.2 * (raw[:, 1] - raw[:, 0] >= 240)
+        out = out - (bonus * (1.15 if center >= 120 else 1.0))[:, None]
     return out
 
 
@@ -196,7 +198,7 @@ def segments(raw: np.ndarray, step: int, longest: int = 48) -> list[slice]:
 
 def metrical(s: np.ndarray, step: int) -> np.ndarray:
     pos = np.mod(s, BEAT)
-    out = np.full(len(s), 0.42)
+    out = np.full(s.shape, 0.42)
     for grid, price, fits in ((30, 0.3, step <= 30), (60, 0.2, step <= 60), (120, 0.1, True), (240, 0.04, True), (480, 0.0, True)):
         if fits:
             out[np.mod(pos, grid) == 0] = price
@@ -218,15 +220,15 @@ def preferred(raw_dur: int, step: int) -> int | None:
     return max(step, rint(ratio) * step)
 
 
-def _near(c: np.ndarray, start: int, end: int, step: int) -> np.ndarray:
-    """Candidates within the shift limits, or the single nearest."""
+def _near(s: np.ndarray, e: np.ndarray, raw: np.ndarray, step: int) -> np.ndarray:
+    """Candidates within the shift limits, or the single nearest of a note: by shift, then by change of duration."""
     a, b = min(max(round(step * 1.0), 60), 180), min(max(round(step * 1.0), 90), 240)
-    ds, de = np.abs(c[:, 0] - start), np.abs(c[:, 1] - end)
-    ok = (ds <= a) & (de <= b)
-    if ok.any():
-        return c[ok]
-    order = np.lexsort((np.abs((c[:, 1] - c[:, 0]) - (end - start)), ds + de))
-    return c[order[:1]]
+    ds, de = np.abs(s - raw[:, [0]]), np.abs(e - raw[:, [1]])
+    some = e > s
+    ok = (ds <= a) & (de <= b) & some
+    rank = np.where(some, (ds + de) * (1 << 31) + np.abs((e - s) - (raw[:, [1]] - raw[:, [0]])), np.iinfo(np.int64).max)
+    single = np.arange(s.shape[1])[None, :] == rank.argmin(1)[:, None]
+    return np.where(ok.any(1, keepdims=True), ok, single)
 
 
 def _phase(raw: np.ndarray, step: int) -> tuple[float, float]:
@@ -263,25 +265,21 @@ def _motifs(raw: np.ndarray, lyric: list[str], step: int, least: int = 6) -> lis
 
 
 def bayes(raw: np.ndarray, lyric: list[str], step: int) -> np.ndarray:
-    motif, done, grid = _motifs(raw, lyric, step), [], step
-    for part in segments(raw, step):
-        r = raw[part]
-        center, pull = _phase(r, step)
-        options, local = [], []
-        for i, (s, e) in enumerate(r):
-            dur = max(1, e - s)
-            short = step > 30 and dur <= max(1, rint(0.375 * step))
-            fine = max(30, step // 2) if short else step
-            grid = min(grid, fine)
-            c = _near(_pairs(s, e, fine), s, e, step)
-            pref, strength = motif[part.start + i]
-            length = c[:, 1] - c[:, 0]
-            cost = _shift_cost(c, s, e, BAYES) + metrical(c[:, 0], step) + 0.3 * note_value(length, step) + pull * np.abs((c[:, 0] - s) - center) + strength * 0.05 * np.abs(length - pref)
-            if (want := preferred(dur, step)) is not None:
-                cost = cost + 0.015 * np.abs(length - want)
-            options.append(c), local.append(cost)
-        done.append(_decode(r, options, local, BAYES, True)[1])
-    return repair(np.concatenate(done), grid)
+    parts = segments(raw, step)
+    center, pull = (np.repeat(x, [p.stop - p.start for p in parts])[:, None] for x in zip(*(_phase(raw[p], step) for p in parts), strict=True))
+    pref, strength = (np.array(x, float)[:, None] for x in zip(*_motifs(raw, lyric, step), strict=True))
+    dur = np.maximum(1, raw[:, 1] - raw[:, 0])
+    short = (step > 30) & (dur <= max(1, rint(0.375 * step)))
+    fine = np.where(short, max(30, step // 2), step)
+    s, e = _pairs(raw, fine)
+    length = e - s
+    cost = _shift_cost(s, e, raw, BAYES) + metrical(s, step) + 0.3 * note_value(length, step) + pull * np.abs((s - raw[:, [0]]) - center) + strength * 0.05 * np.abs(length - pref)
+    want = [preferred(d, step) for d in dur.tolist()]
+    known = np.array([x is not None for x in want])[:, None]
+    cost = cost + np.where(known, 0.015 * np.abs(length - np.array([x or 0 for x in want])[:, None]), 0.0)
+    cost = np.where(_near(s, e, raw, step), cost, np.inf)
+    done = [_decode(raw[p], s[p], e[p], cost[p], BAYES, True)[1] for p in parts]
+    return repair(np.concatenate(done), int(min(step, fine.min())))
 
 
 # dispatch -------------------------------------------------------------------
