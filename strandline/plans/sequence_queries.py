@@ -234,9 +234,9 @@ def smart_slicer(spark, sf_dir):
 
 @query()
 def viterbi_align(spark, sf_dir):
-    """Eight embeddings in turn make the logits of one utterance: 64 phones by 8 frames, three of them expected."""
+    """Eight embeddings in turn, fewer at the end, make the logits of one utterance: 64 phones by frames, three of them expected."""
     e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("utt"), "vec_id", "embedding")
-    g = e.groupBy("utt").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))["embedding"].alias("frames")).where(F.size("frames") == 8)
+    g = e.groupBy("utt").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))["embedding"].alias("frames"))
     logits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.transform("frames", lambda f: F.get(f, p) * 8))
     edges = F.transform("frames", lambda f: F.get(f, F.lit(5)) * 6)
     return decoding.decode_utterances(g.select("utt", logits.alias("logits"), edges.alias("edges"), F.array(*[F.lit(i) for i in (0, 7, 11, 0)]).alias("phones")))
